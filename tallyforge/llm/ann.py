@@ -12,7 +12,7 @@ from tallyforge.llm.common import ship
 from tallyforge.llm.vectors import TOP, best, is_query, usable
 
 #: Hash tables, probes a table, and rows of a block of one bucket (candidates, queries).
-TABLES, PROBES = 16, 5
+TABLES, PROBES = 16, 8
 CANDIDATES, QUERIES = 4096, 2048
 SEED = 20
 
