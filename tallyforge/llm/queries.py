@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import ann, exact_topk, language_id, mixing, sentencepiece_bpe, toxicity
+from tallyforge.llm import ann, exact_topk, language_id, mixing, ngram_join, sentencepiece_bpe, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encoded(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op3_sentencepiece, op5_language_id, op6_toxicity, op8_exact_topk, op10_ann)}
+    return {f.__name__: f for f in (op1_mix, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op8_exact_topk, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
