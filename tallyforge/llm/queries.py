@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import ann, exact_topk, language_id, mixing, ngram_join, sentencepiece_bpe, toxicity
+from tallyforge.llm import ann, exact_topk, language_id, line_dedup, mixing, ngram_join, sentencepiece_bpe, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_scores(_table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op8_exact_topk, op10_ann)}
+    return {f.__name__: f for f in (op1_mix, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
