@@ -13,8 +13,8 @@ from tallyforge.llm.vectors import TOP, best, is_query, usable
 #: Rows of a block of candidates and of queries; segments at each resolution.
 CANDIDATES, QUERIES = 2048, 4096
 SEGMENTS = (1, 4, 16)
-#: Queries that a task takes at a time.
-STRIP = 256
+#: Queries that a task takes at a time, and the share of survivors above which a resolution is computed for all.
+STRIP, DENSE = 256, 0.05
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -45,17 +45,25 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, t
         exact[np.take_along_axis(own, first, 1)] = -np.inf
         least = exact.min(1)
         slack = 1e-9 * (1 + np.abs(bound[np.isfinite(bound)]).max(initial=0.0))
-        qa, ca = np.nonzero((bound + slack >= least[:, None]) & ~own)
-        for sq, sc in stats[1:]:
-            keep = np.zeros(len(qa), bool)
-            for a in range(0, len(qa), 1 << 17):
-                part = slice(a, a + (1 << 17))
-                keep[part] = np.einsum("ij,ij->i", sq[strip][qa[part]], sc[ca[part]]) + slack >= least[qa[part]]
-            qa, ca = qa[keep], ca[keep]
-        score = np.empty(len(qa))
-        for a in range(0, len(qa), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            score[part] = np.einsum("ij,ij->i", qs[qa[part]], c[ca[part]])
+        alive = (bound + slack >= least[:, None]) & ~own
+        for sq, sc in [*((x[strip], y) for x, y in stats[1:]), (qs, c)]:  # the last resolution is the vector itself
+            last = sc is c
+            if alive.mean() > DENSE:
+                bound = sq @ sc.T
+                alive &= bound + slack >= least[:, None]
+                if last:
+                    bound[~alive] = -np.inf
+                    alive &= bound >= np.partition(bound, len(c) - k, axis=1)[:, len(c) - k, None]
+                    qa, ca = np.nonzero(alive)
+                    score = bound[qa, ca]
+            else:
+                qa, ca = np.nonzero(alive)
+                score = np.empty(len(qa))
+                for a in range(0, len(qa), 1 << 17):
+                    part = slice(a, a + (1 << 17))
+                    score[part] = np.einsum("ij,ij->i", sq[qa[part]], sc[ca[part]])
+                if not last:
+                    alive[qa, ca] = score + slack >= least[qa]
         order = np.lexsort((c_ids[ca], -score, qa))
         qa, ca, score = qa[order], ca[order], score[order]
         place = np.arange(len(qa)) - np.searchsorted(qa, qa, "left")
