@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import ann, exact_topk, language_id, line_dedup, mixing, ngram_join, sentencepiece_bpe, toxicity
+from tallyforge.llm import ann, exact_topk, language_id, line_dedup, mixing, ngram_join, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(_table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encoded(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op10_ann)}
+    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
