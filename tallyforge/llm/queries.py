@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import ann, exact_topk, language_id, line_dedup, mixing, ngram_join, sentencepiece_bpe, suffix_dedup, toxicity
+from tallyforge.llm import ann, exact_topk, language_id, line_dedup, mixing, ngram_join, pii, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +64,16 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_scores(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op10_ann)}
+    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op9_pii, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
