@@ -9,7 +9,8 @@ import zipfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,21 @@ def ship(spark: SparkSession) -> None:
     sc._tallyforge_shipped = True
 
 
+#: Rows of a table of remainders.
+REMAINDERS = 1 << 20
+
+
+def near_rows(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that may have a partner in ``keys`` (column id), and rows that surely have none.
+
+    The test is the remainder of the key, so what is broadcast never has more than REMAINDERS rows; the
+    rows without a partner stay out of the shuffle of a join. A null key has no partner.
+    """
+    rest = F.broadcast(keys.select(F.pmod("id", F.lit(REMAINDERS)).alias("_rest")).distinct())
+    df = df.withColumn("_rest", F.pmod(key, F.lit(REMAINDERS)))
+    return df.join(rest, "_rest", "left_semi").drop("_rest"), df.join(rest, "_rest", "left_anti").drop("_rest")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

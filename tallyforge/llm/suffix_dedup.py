@@ -8,17 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import partitions, prefix_hash, ship, span_hash, stored
+from tallyforge.llm.common import near_rows, partitions, prefix_hash, ship, span_hash, stored
 
 #: Bytes of a repeated string.
 LENGTH = 400
 #: Bytes of an anchor. Every string of LENGTH bytes has one: the anchor in it with the least hash, the leftmost of equals.
 ANCHOR = 200
-#: Rows of a table of remainders.
-REMAINDERS = 1 << 20
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -199,13 +197,6 @@ def shared_windows(spans: list[bytes], counts: list[int]) -> list[list[tuple[int
     return out
 
 
-def _near(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that may have a partner in ``keys`` (column id) and rows that surely have none, by a bounded table of remainders."""
-    rest = F.broadcast(keys.select(F.pmod("id", F.lit(REMAINDERS)).alias("_rest")).distinct())
-    df = df.withColumn("_rest", F.pmod(key, F.lit(REMAINDERS)))
-    return df.join(rest, "_rest", "left_semi").drop("_rest"), df.join(rest, "_rest", "left_anti").drop("_rest")
-
-
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(th, lo, hi): runs of windows that also start elsewhere, of distinct texts (th, text)."""
     ship(texts.sparkSession)
@@ -230,11 +221,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     kinds = found.groupBy("h").agg(F.count("*").alias("all"))
     spans = stored(spans.join(kinds.where("all > 1"), "h"), "spans")
     copies = spans.where("c > 1").select(F.col("whole").alias("id"), "h")
-    maybe, _ = _near(found, F.col("whole"), copies)
+    maybe, _ = near_rows(found, F.col("whole"), copies)
     equal = maybe.join(copies.withColumnRenamed("id", "whole"), ["h", "whole"], "left_semi").select("th", "lo", "hi")
     unlike = spans.where("c < all").select("h", "c", "rep.th", "rep.lo", "rep.hi")
     wanted = stored(unlike.groupBy("th").agg(F.collect_list(F.struct("h", "c", "lo", "hi")).alias("spans")), "unlike-spans")
-    some, _ = _near(texts, F.col("th"), wanted.select(F.col("th").alias("id")))
+    some, _ = near_rows(texts, F.col("th"), wanted.select(F.col("th").alias("id")))
     cut_out = some.join(wanted, "th").select("th", "text", "spans")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,14 +282,14 @@ def removed(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     long_rows = rows.where(F.col("n_bytes") >= LENGTH)
     copies = stored(long_rows.groupBy("th").agg(F.count("*").alias("m")).where("m > 1").select(F.col("th").alias("id")), "copies")
-    maybe, sure = _near(long_rows.select("th", "text"), F.col("th"), copies)
+    maybe, sure = near_rows(long_rows.select("th", "text"), F.col("th"), copies)
     texts = sure.union(maybe.dropDuplicates(["th"]))
     runs = repeated_windows(texts)
     merged = runs.groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).withColumnRenamed("th", "id")
     merged = merged.join(copies, "id", "left_anti")
     marks = stored(merged.unionByName(copies.withColumn("runs", F.lit(None).cast("array<struct<lo:int,hi:int>>"))), "marks")
 
-    maybe, sure = _near(rows, F.col("th"), marks)
+    maybe, sure = near_rows(rows, F.col("th"), marks)
     empty = hashlib.sha256(b"").hexdigest()
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
