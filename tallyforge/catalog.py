@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tallyforge.plans import records, registry  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.SQL)
