@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import records, registry  # noqa: F401
+from tallyforge.plans import matching, prices, records, registry, reports  # noqa: F401
 
 
 def queries() -> dict:
