@@ -136,7 +136,7 @@ def invoice_date(x: Column) -> Column:
     us = r"^\s*(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
     part = lambda p, k: F.lpad(F.regexp_extract(x, p, k), 4 if (p == iso and k == 1) or (p == us and k == 3) else 2, "0")
     text = F.when(x.rlike(iso), F.concat_ws("-", part(iso, 1), part(iso, 2), part(iso, 3))).when(x.rlike(us), F.concat_ws("-", part(us, 3), part(us, 1), part(us, 2)))
-    d = F.try_to_date(text, "yyyy-MM-dd")
+    d = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
     return F.coalesce(F.when(F.year(d).between(1900, 2200), F.date_format(d, "yyyy-MM-dd")), F.lit(""))
 
 
@@ -144,6 +144,6 @@ def page_info(name: Column) -> tuple[Column, Column, Column]:
     """Page, pages (0 if unknown) and the base of a file name such as ``scan_p2of3.jpg``."""
     stem = F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")
     p = r"(?i)[ _-]*(?:page|p)[ _-]*(\d+)(?:[ _-]*(?:of|/)[ _-]*(\d+))?$"
-    page = F.coalesce(F.try_cast(F.nullif(F.regexp_extract(stem, p, 1), F.lit("")), "int") if hasattr(F, "try_cast") else F.nullif(F.regexp_extract(stem, p, 1), F.lit("")).try_cast("int"), F.lit(1))
+    page = F.coalesce(F.nullif(F.regexp_extract(stem, p, 1), F.lit("")).try_cast("int"), F.lit(1))
     pages = F.coalesce(F.nullif(F.regexp_extract(stem, p, 2), F.lit("")).try_cast("int"), F.lit(0))
     return page, pages, F.lower(F.regexp_replace(stem, p, ""))
