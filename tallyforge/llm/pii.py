@@ -104,28 +104,53 @@ def cooccurrences(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(around, "entity string, term string, context string").distinct()
 
 
+#: So many terms may be broadcast; more are matched by a join.
+BROADCAST_TERMS = 200_000
+
+
+def words_of(documents: DataFrame) -> DataFrame:
+    """(key, term): the distinct words of each text; the key tells texts apart."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0)))
+    return documents.select(F.xxhash64("text").alias("key"), F.explode(words).alias("term"))
+
+
+def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): how many texts hold each of the terms. Few terms are counted where the texts are, more by a join."""
+    few = [r.term for r in terms.limit(BROADCAST_TERMS + 1).collect()]
+    if len(few) > BROADCAST_TERMS:
+        return words_of(documents).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(few))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tallyforge.llm.pii import TERM
+
+        seen: Counter = Counter()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                if text:
+                    seen.update(shared.value.intersection(TERM.findall(text.lower())))
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    return documents.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def revealed(documents: DataFrame) -> DataFrame:
     """(term, entity, bits): terms that reveal an entity, from the co-occurrences and frequencies of the whole corpus.
 
     With N texts, a term in n of them, an entity in m contexts and both together in k of these, the term reveals the entity
     by log2(k * N / (n * m)) bits, and its disclosure is k / n. Equal contexts count once, so a term isn't disclosing just
-    because its document was copied.
+    because its document was copied. Terms that stand in many contexts of other entities are out before their texts are counted.
     """
     near = stored(cooccurrences(documents), "entity-terms")
     joint = near.groupBy("entity", "term").agg(F.count("*").alias("k")).where(F.col("k") >= MIN_CONTEXTS)
+    around = near.groupBy("term").agg(F.count("*").alias("any"))
+    joint = stored(joint.join(around, "term").where(F.col("k") >= MIN_SHARE * F.col("any")), "joint")
     per_entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("m"))
-    joint = joint.join(per_entity, "entity")
-    terms = joint.select("term").distinct()
-    # document frequencies of the terms in question: words are split where the texts are, and only counts are moved
-    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0)))).alias("term"))
-    df = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    n = F.greatest("n", "k")
+    df = frequencies(documents, joint.select("term").distinct())
+    n = F.greatest("n", "any")
     bits = F.log2(F.col("k") * F.lit(float(max(1, documents.count()))) / (n * F.col("m")))
-    return joint.join(df, "term").where((F.col("k") / n >= MIN_SHARE) & (bits >= MIN_BITS)).select("term", "entity", bits.alias("bits"))
-
-
-#: Bound of the disclosing terms that are broadcast; beyond it they are matched by a join.
-BROADCAST_TERMS = 200_000
+    out = joint.join(per_entity, "entity").join(df, "term").where((F.col("k") / n >= MIN_SHARE) & (bits >= MIN_BITS))
+    return out.select("term", "entity", bits.alias("bits"))
 
 
 def found(documents: DataFrame, texts: bool = False) -> DataFrame:
@@ -138,10 +163,16 @@ def found(documents: DataFrame, texts: bool = False) -> DataFrame:
     """
     spark = documents.sparkSession
     ship(spark)
-    terms = [r.term for r in revealed(documents).select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
-    if len(terms) > BROADCAST_TERMS:
-        raise ValueError("more disclosing terms than a broadcast may hold: raise MIN_CONTEXTS or MIN_BITS")
-    shared = spark.sparkContext.broadcast(frozenset(terms))
+    terms = stored(revealed(documents).select("term").distinct(), "disclosing-terms")
+    few = [r.term for r in terms.limit(BROADCAST_TERMS + 1).collect()]
+    rows = documents.select("doc_id", "text")
+    if len(few) > BROADCAST_TERMS:  # each text gets its own terms by a join
+        own = words_of(documents).join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("own"))
+        rows = rows.withColumn("key", F.xxhash64("text")).join(own, "key", "left").drop("key")
+        few = []
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("array<string>"))
+    shared = spark.sparkContext.broadcast(frozenset(few))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tallyforge.llm.pii import all_spans, digest, sanitised
@@ -149,8 +180,8 @@ def found(documents: DataFrame, texts: bool = False) -> DataFrame:
         for b in batches:
             counts: list[list[int]] = [[], [], [], []]
             shas, all_, clean = [], [], []
-            for text in b.column("text").to_pylist():
-                base, more = all_spans(text or "", shared.value)
+            for text, own in zip(b.column("text").to_pylist(), b.column("own").to_pylist(), strict=True):
+                base, more = all_spans(text or "", frozenset(own) if own else shared.value)
                 c = Counter(k for _, _, k in base)
                 for k in range(4):
                     counts[k].append(c[k])
@@ -164,7 +195,7 @@ def found(documents: DataFrame, texts: bool = False) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string" + (", clean string" if texts else "")
-    return documents.select("doc_id", "text").mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def all_spans(text: str, terms: frozenset[str]) -> tuple[list, list]:

@@ -56,5 +56,14 @@ def test_counts_digests_and_terms(spark):
     assert got[100].spans == "" and got[2].clean is None
 
 
+def test_join_path_gives_the_same(spark, monkeypatch):
+    rows = [(10 + i, f"filler{'abcdefgh'[i]}aa wordy{'abcdefgh'[i]} zorbly pat@home.net plain{'abcdefgh'[i]}bb") for i in range(8)]
+    rows += [(100 + i, f"nothing here {i} of interest") for i in range(600)] + [(900, "zorbly again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    usual = sorted(map(tuple, pii.found(df).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, pii.found(df).collect())) == usual
+
+
 def test_empty_table(spark):
     assert pii.found(spark.createDataFrame([], "doc_id long, text string")).count() == 0
