@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -15,7 +17,9 @@ from tallyforge.llm.common import ship
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 #: Words whose ids a task remembers.
-CACHE = 400_000
+CACHE = 250_000
+#: Documents that are encoded before their results are passed on.
+ROWS = 256
 
 
 class PieceTable:
@@ -241,36 +245,33 @@ def encoded(documents: DataFrame, model_name: str = "piece_bpe_32k.model", ids:
 
         t = table(public_tokenizers.path(model_name))
         word, words = t.word, t.words
-        tail = {}  # a word's ids as text and its decoded text
+        tail = {}  # a word's ids as text, its decoded text, and its ids as bytes
 
         def facts(w):
-            got = tail.get(w)
-            if got is None:
-                if len(tail) > CACHE:
-                    tail.clear()
-                x = word(w)
-                got = tail[w] = (len(x), ",".join(map(str, x)), t.decode(x) if w[0] != SPACE else " " + t.decode(x))
+            if len(tail) > CACHE:
+                tail.clear()
+            x = word(w)
+            got = tail[w] = (len(x), ",".join(map(str, x)), t.decode(x) if w[0] != SPACE else " " + t.decode(x), array("i", x).tobytes() if ids else b"")
             return got
 
-        for b in batches:
-            n_out, id_out, text_out, all_ids, all_text = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                if not text:
-                    parts = []
-                else:
-                    parts = [tail.get(w) or facts(w) for w in words(text)]
-                n_out.append(sum([p[0] for p in parts]))
-                joined = ",".join([p[1] for p in parts])
-                id_out.append(hashlib.sha256(joined.encode()).hexdigest())
-                plain = "".join([p[2] for p in parts])[1:]
-                text_out.append(hashlib.sha256(plain.encode()).hexdigest())
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):  # so little is held at a time
+                b = whole.slice(lo, ROWS)
+                n_out, id_out, text_out, raw, plain_out = [], [], [], [], []
+                for text in b.column("text").to_pylist():
+                    parts = [tail.get(w) or facts(w) for w in words(text)] if text else []
+                    n_out.append(sum([p[0] for p in parts]))
+                    id_out.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                    plain = "".join([p[2] for p in parts])[1:]
+                    text_out.append(hashlib.sha256(plain.encode()).hexdigest())
+                    if ids:
+                        raw.append(b"".join([p[3] for p in parts]))
+                        plain_out.append(plain)
+                cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n_out, pa.int64()), "ids_sha256": pa.array(id_out, pa.string()), "decoded_sha256": pa.array(text_out, pa.string())}
                 if ids:
-                    all_ids.append([int(x) for x in joined.split(",")] if joined else [])
-                    all_text.append(plain)
-            cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n_out, pa.int64()), "ids_sha256": id_out, "decoded_sha256": text_out}
-            if ids:
-                cols |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": all_text}
-            yield pa.RecordBatch.from_pydict(cols)
+                    ends = np.concatenate(([0], np.cumsum(n_out))).astype(np.int32)
+                    cols |= {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32))), "decoded": pa.array(plain_out, pa.string())}
+                yield pa.RecordBatch.from_pydict(cols)
 
     kind = dict(documents.dtypes)["doc_id"]
     return documents.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
