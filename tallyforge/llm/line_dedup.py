@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import cut, near_rows, stored
 from tallyforge.llm.graph import components
 
-#: A shingle is up to 16 characters from the beginning of a piece; a piece is a run of up to 16 characters without white
-#: space, counted from the beginning of a word (one character from U+2E80 on), so the shingles cover the line.
-SHINGLE = r"(?=(\S.{0,15}))(?:[\u2E80-\uFFFF]|[^\s\u2E80-\uFFFF]{1,16})"
+#: A shingle is so many characters of a line, from each of its characters on; a shorter line is one shingle.
+SHINGLE = 5
 #: Bands and MinHash values of a band. At similarity 0.8 a pair shares a band with probability 0.997.
 BANDS, ROWS = 8, 3
 #: Lines link from this similarity on.
@@ -24,13 +23,26 @@ def _lines(documents: DataFrame) -> DataFrame:
     return out.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line <> ''")
 
 
+def _coded(line: Column) -> Column:
+    """Four bytes for each character, so a shingle is found without walking through the line."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(coded: Column) -> Column:
+    """Where the shingles begin, in bytes from 1 on."""
+    return F.sequence(F.lit(1), F.greatest(F.length(coded) - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
+
+
 def _shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+    """The distinct shingles of a line, as hashes."""
+    coded = _coded(line)
+    return F.array_distinct(F.transform(_starts(coded), lambda k: F.xxhash64(F.substring(coded, k, F.lit(4 * SHINGLE)))))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
     """(band, next, id): the key of each band of each distinct line, and another MinHash value to order a bucket by."""
-    h = lines.select(F.xxhash64("line").alias("id"), F.explode(_shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    c = lines.select(F.xxhash64("line").alias("id"), _coded(F.col("line")).alias("coded"))
+    h = c.select("id", "coded", F.explode(_starts(F.col("coded"))).alias("k")).select("id", F.xxhash64(F.substring("coded", F.col("k"), F.lit(4 * SHINGLE))).alias("h"))
     sig = h.groupBy("id").agg(*[F.min(F.hash("h", F.lit(k))).alias(f"s{k}") for k in range(BANDS * ROWS)])
     each = [F.struct(F.xxhash64(F.lit(b), *[f"s{b * ROWS + r}" for r in range(ROWS)]).alias("band"), F.col(f"s{(b * ROWS + ROWS) % (BANDS * ROWS)}").alias("next")) for b in range(BANDS)]
     return sig.select("id", F.explode(F.array(*each)).alias("e")).select("e.band", "e.next", "id")
@@ -48,12 +60,19 @@ def _candidates(lines: DataFrame) -> DataFrame:
     return stored(e, "line-candidates")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles reach the similarity."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").where(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles reach the similarity. The sets are made where both lines are, as they are larger than the lines."""
+    a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    # arrays of one element name the values that are used more than once
+    sets = F.array(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")))
+    alike = F.exists(
+        sets,
+        lambda s: F.exists(
+            F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda common: common >= SIMILARITY * (F.size(s["x"]) + F.size(s["y"]) - common)
+        ),
+    )
+    return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
 
 
 def line_components(documents: DataFrame) -> DataFrame:
@@ -62,16 +81,15 @@ def line_components(documents: DataFrame) -> DataFrame:
     pairs = _candidates(lines)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     maybe, _ = near_rows(lines.select(F.xxhash64("line").alias("id"), "line"), F.col("id"), ids)
-    # the shingles of the lines that stand in pairs, one row for each distinct line
-    sets = maybe.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    sets = stored(sets.select("id", F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("shingles")), "line-sets")
+    # the lines that stand in pairs, one row for each distinct line
+    texts = stored(maybe.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
     main = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    first = cut(_verified(main, sets))
+    first = cut(_verified(main, texts))
     joined = components(first)
     # the other pairs count only where the first ones haven't joined them already
     ca, cb = joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     open_ = pairs.join(main, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    second = _verified(open_.select("a", "b"), sets)
+    second = _verified(open_.select("a", "b"), texts)
     return components(first.union(second))
 
 
