@@ -12,6 +12,8 @@ from tallyforge.llm.graph import components
 SHINGLE = 5
 #: Bands and MinHash values of a band. At similarity 0.8 a pair shares a band with probability 0.997.
 BANDS, ROWS = 8, 3
+#: Lines of a block of a bucket.
+BLOCK = 64
 #: Lines link from this similarity on.
 SIMILARITY = 0.8
 
@@ -48,18 +50,40 @@ def _bands(lines: DataFrame) -> DataFrame:
     return sig.select("id", F.explode(F.array(*each)).alias("e")).select("e.band", "e.next", "id")
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
+def _buckets(lines: DataFrame) -> DataFrame:
+    """(band, id, head, back, n) of the lines that share a bucket with others: its first line, the one before, and its lines."""
+    whole = Window.partitionBy("band")
+    w = whole.orderBy("next", "id")
+    b = _bands(lines).select("band", "id", F.first("id").over(w).alias("head"), F.lag("id").over(w).alias("back"), F.count("*").over(whole).alias("n"))
+    return stored(b.where("n > 1"), "line-buckets")
+
+
+def _candidates(buckets: DataFrame) -> DataFrame:
     """Pairs (a, b) of lines of one bucket: each line with the bucket's first and with the one before it.
 
     Both come from one window, so a bucket of n lines gives fewer than 2n pairs.
     """
-    w = Window.partitionBy("band").orderBy("next", "id")
-    b = _bands(lines).select("id", F.first("id").over(w).alias("head"), F.lag("id").over(w).alias("back"))
-    e = b.where("back is not null").select("id", F.explode(F.array("head", "back")).alias("other")).where("id <> other")
+    e = buckets.where("back is not null").select("id", F.explode(F.array("head", "back")).alias("other")).where("id <> other")
     e = e.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
     return stored(e, "line-candidates")
 
 
+def _apart(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (a, b): all lines of one bucket that aren't in one component yet.
+
+    Most buckets are one component by now. A bucket that isn't is split into blocks, and all pairs of its blocks are compared, each in a
+    place of its own, so a large one doesn't meet in one task.
+    """
+    m = buckets.where("n > 2").select("band", "id").join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    m = stored(m, "line-members")
+    mixed = m.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
+    m = m.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")), "band")
+    m = m.withColumn("own", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    x = m.select("band", F.col("own").alias("p"), F.col("other").alias("q"), F.col("id").alias("a"), F.col("c").alias("ca"))
+    y = m.select("band", F.col("other").alias("p"), F.col("own").alias("q"), F.col("id").alias("b"), F.col("c").alias("cb"))
+    return x.join(y, ["band", "p", "q"]).where("a > b and ca <> cb").select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles reach the similarity. The sets are made where both lines are, as they are larger than the lines."""
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
@@ -78,7 +102,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def line_components(documents: DataFrame) -> DataFrame:
     """(id, component) of the distinct lines that have a near copy; id is the line's hash."""
     lines = _lines(documents)
-    pairs = _candidates(lines)
+    buckets = _buckets(lines)
+    pairs = _candidates(buckets)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     maybe, _ = near_rows(lines.select(F.xxhash64("line").alias("id"), "line"), F.col("id"), ids)
     # the lines that stand in pairs, one row for each distinct line
@@ -89,8 +114,10 @@ def line_components(documents: DataFrame) -> DataFrame:
     # the other pairs count only where the first ones haven't joined them already
     ca, cb = joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     open_ = pairs.join(main, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    second = _verified(open_.select("a", "b"), texts)
-    return components(first.union(second))
+    first = cut(first.union(_verified(open_.select("a", "b"), texts)))
+    # lines of one bucket that are still apart are all compared
+    rest = _apart(buckets, cut(components(first))).join(pairs, ["a", "b"], "left_anti")
+    return components(first.union(_verified(rest, texts)))
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
