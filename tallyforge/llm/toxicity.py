@@ -69,7 +69,7 @@ class Lexicon:
             h = len(body) // 2
             self.heads.setdefault(h, set()).add(body[:h])
             self.tails.setdefault(len(body) - h, set()).add(body[h:])
-        self.tail_at = sorted({(len(b) // 2 + d, len(b) - len(b) // 2) for t in self.terms for b in [t.rstrip("*")] if len(b) >= FUZZY_FROM for d in (-1, 0, 1)})
+        self.tail_at = sorted({(len(b) // 2 + d, len(b) - len(b) // 2) for t in self.terms for b in [t.rstrip("*")] if len(b) >= FUZZY_FROM and t not in exact_only for d in (-1, 0, 1)})
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The term of a lower-case word and its distance, 0 or 1."""
