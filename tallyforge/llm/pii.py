@@ -108,10 +108,23 @@ def cooccurrences(documents: DataFrame) -> DataFrame:
 BROADCAST_TERMS = 200_000
 
 
+def words(text: str) -> set[str]:
+    """The distinct words of a text in lower case. Each is lower-cased by itself, as its length may change."""
+    return {w.lower() for w in TERM.findall(text)}
+
+
 def words_of(documents: DataFrame) -> DataFrame:
     """(key, term): the distinct words of each text; the key tells texts apart."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0)))
-    return documents.select(F.xxhash64("text").alias("key"), F.explode(words).alias("term"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tallyforge.llm.pii import words
+
+        for b in batches:
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text and (own := list(words(text))):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(own), pa.int64()), "term": pa.array(own, pa.string())})
+
+    return documents.select(F.xxhash64("text").alias("key"), "text").mapInArrow(split, "key bigint, term string")
 
 
 def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -122,13 +135,13 @@ def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(frozenset(few))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallyforge.llm.pii import TERM
+        from tallyforge.llm.pii import words
 
         seen: Counter = Counter()
         for b in batches:
             for text in b.column("text").to_pylist():
                 if text:
-                    seen.update(shared.value.intersection(TERM.findall(text.lower())))
+                    seen.update(shared.value.intersection(words(text)))
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     return documents.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
@@ -203,10 +216,9 @@ def all_spans(text: str, terms: frozenset[str]) -> tuple[list, list]:
     base = base_spans(text)
     more = []
     if terms:
-        low = text.lower()
-        if len(low) == len(text) and not terms.isdisjoint(TERM.findall(low)):
-            for m in TERM.finditer(low):
-                if m.group() in terms and not any(s < m.end() and m.start() < e for s, e, _ in base):
+        if not terms.isdisjoint(words(text)):
+            for m in TERM.finditer(text):
+                if m.group().lower() in terms and not any(s < m.end() and m.start() < e for s, e, _ in base):
                     more.append((m.start(), m.end(), 4))
     return base, more
 
