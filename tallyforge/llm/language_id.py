@@ -236,5 +236,11 @@ def predicted(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accepted(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that have a language; those without text or without a letter (``und``) go."""
-    return judged(documents).where("_language.lang_pred <> 'und'").select(*documents.columns)
+    """The rows of ``documents`` that have a language; those without text or without a letter (``und``) go.
+
+    Where nothing could be learned, all rows with a letter stay.
+    """
+    model = fit(documents)
+    if not model.languages:
+        return documents.where(F.col("text").rlike(r"\p{L}"))
+    return judged(documents, model).where("_language.lang_pred <> 'und'").select(*documents.columns)
