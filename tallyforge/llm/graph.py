@@ -7,34 +7,47 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import cut
 
+#: A node is a hub from so many links on, or from the total over HUBS on; so there are at most 2 * HUBS hubs.
+HUB_LINKS, HUBS = 1000, 10_000
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """(a, b, m) of links (a, b): m is the least of a and the nodes it is linked with.
+
+    The links of a hub stay where they are, as the table of hubs is bounded; so no task gets more than a hub's worth of one node.
+    """
+    low = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    many = max(HUB_LINKS, total // HUBS)
+    hubs = F.broadcast(low.where(F.col("n") > many).select("a", "m"))
+    rest = links.join(hubs.select("a"), "a", "left_anti").join(low.where(F.col("n") <= many).select("a", "m"), "a")
+    return links.join(hubs, "a").select("a", "b", "m").union(rest.select("a", "b", "m"))
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (id, component) for the nodes of ``edges`` (columns a, b); component is the smallest id reachable.
 
     Distributed union-find: every node hangs below the smallest neighbour of its root, then paths are
-    halved (Alternating large-star and small-star operations). A node of very many links only takes part
-    in aggregates and joins that Spark pre-aggregates or splits. Loops, repeated and null edges are ignored;
-    an empty input gives an empty table. Each round is cut with a checkpoint.
+    halved (Alternating large-star and small-star operations). A node of very many links is pre-aggregated and joined by a
+    bounded broadcast. Loops, repeated and null edges are ignored; an empty input gives an empty table. Each round is cut with a
+    checkpoint.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut(e)
-    n = None
-    for _ in range(rounds):
+    total, n = e.count(), None
+    for _ in range(rounds if total else 0):
         # large-star: larger neighbours are linked to the smallest neighbour of their node
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        big = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        big = _with_least(both, 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small-star: a node and its smaller neighbours are linked to the smallest of them
-        big = big.distinct()
-        least = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = cut(small.union(least).distinct())
-        total = small.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        e = small
-        if (total.n, total.h) == n:
+        star = _with_least(big, 2 * total)
+        small = star.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        e = cut(small.where("a <> b").distinct())
+        now = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
+        if (now.n, now.h) == n:
             break
-        n = (total.n, total.h)
+        n, total = (now.n, now.h), now.n
     else:
-        raise RuntimeError("components have not settled")
+        if total:
+            raise RuntimeError("components have not settled")
     tails = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return tails.union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

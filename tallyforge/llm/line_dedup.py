@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,179 +12,221 @@ from tallyforge.llm.graph import components
 
 #: A shingle is so many characters of a line, from each of its characters on; a shorter line is one shingle.
 SHINGLE = 5
-#: Bands and MinHash values of a band. At similarity 0.8 a pair shares a band with probability 0.997.
-BANDS, ROWS = 8, 3
+#: Bands and MinHash values of a band. At similarity 0.8 a pair of long lines shares a band with probability 0.998.
+BANDS, ROWS = 20, 6
 #: Lines of a block of a bucket.
-BLOCK = 64
+BLOCK = 256
 #: Lines link from this similarity on.
 SIMILARITY = 0.8
 
+#: Points at even distances on the circle of 64-bit hashes. The MinHash value of a point is the first shingle hash from it on, which is any
+#: shingle of a line with equal probability. Bands take points by chance. A point is looked for in its arc of the circle only.
+_POINTS = [(k * (1 << 64) // (BANDS * ROWS)) - (1 << 63) + 1 for k in range(BANDS * ROWS)]
+_DEALT = random.Random(7).sample(range(BANDS * ROWS), BANDS * ROWS)
+_ARC = 10
+
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """key, doc_id, pos and line: every line that isn't blank, trimmed. Equal rows have one key."""
-    rows = documents.where("text is not null").select("doc_id", "text")
-    out = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _lines(rows: DataFrame) -> DataFrame:
+    """key, doc_id, pos and line: every line that isn't blank, trimmed, of rows (key, doc_id, text)."""
+    out = rows.where("text is not null").select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return out.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line <> ''")
 
 
-def _coded(line: Column) -> Column:
-    """Four bytes for each character, so a shingle is found without walking through the line."""
-    return F.encode(line, "UTF-32")
+def _keyed(documents: DataFrame) -> DataFrame:
+    """key, doc_id and text; equal rows have one key."""
+    return documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+
 
+def _shingles(line: Column) -> Column:
+    """The distinct shingles of a line, as sorted hashes.
 
-def _starts(coded: Column) -> Column:
-    """Where the shingles begin, in bytes from 1 on."""
-    return F.sequence(F.lit(1), F.greatest(F.length(coded) - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
+    The line is coded in four bytes a character, so that a shingle is found without walking through the line; the array of one element
+    gives the coded line a name, or it would be coded again for each shingle.
+    """
 
+    def hashes(coded: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(coded) - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda k: F.xxhash64(F.substring(coded, k, F.lit(4 * SHINGLE))))
 
-def _shingles(line: Column) -> Column:
-    """The distinct shingles of a line, as hashes."""
-    coded = _coded(line)
-    return F.array_distinct(F.transform(_starts(coded), lambda k: F.xxhash64(F.substring(coded, k, F.lit(4 * SHINGLE)))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), hashes))))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """(band, next, id): the key of each band of each distinct line, and another MinHash value to order a bucket by."""
-    c = lines.select(F.xxhash64("line").alias("id"), _coded(F.col("line")).alias("coded"))
-    h = c.select("id", "coded", F.explode(_starts(F.col("coded"))).alias("k")).select("id", F.xxhash64(F.substring("coded", F.col("k"), F.lit(4 * SHINGLE))).alias("h"))
-    sig = h.groupBy("id").agg(*[F.min(F.hash("h", F.lit(k))).alias(f"s{k}") for k in range(BANDS * ROWS)])
-    each = [F.struct(F.xxhash64(F.lit(b), *[f"s{b * ROWS + r}" for r in range(ROWS)]).alias("band"), F.col(f"s{(b * ROWS + ROWS) % (BANDS * ROWS)}").alias("next")) for b in range(BANDS)]
-    return sig.select("id", F.explode(F.array(*each)).alias("e")).select("e.band", "e.next", "id")
+    """(band, id, n) of lines (id, line): the key of each band of each line, and its number of shingles.
 
+    Among the sorted hashes of a line and the points, the place of a point tells the hash that follows it.
+    """
+    s = lines.select("id", _shingles(F.col("line")).alias("a"))
+    points = F.array(*[F.lit(p) for p in _POINTS])
+    s = s.select("id", F.concat("a", F.slice("a", 1, 1)).alias("a"), F.size("a").alias("n"), F.sort_array(F.concat("a", points)).alias("among"))
+    starts = [F.array_position("among", F.lit(p)).cast("int") for p in _POINTS[::_ARC]]
+    s = s.select("id", "n", "a", "among", F.array(*starts, F.size("among") + 1).alias("starts"))
+    s = s.select("id", "n", "a", "among", "starts", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
+    numbers = [F.array(*[F.lit(k) for k in _DEALT[r::ROWS]]) for r in range(ROWS)]
+    arcs = [F.array(*[F.lit(k // _ARC) for k in _DEALT[r::ROWS]]) for r in range(ROWS)]
+    values = [F.array(*[F.lit(_POINTS[k]) for k in _DEALT[r::ROWS]]) for r in range(ROWS)]
 
-def _buckets(lines: DataFrame) -> DataFrame:
-    """(band, id, head, back, n) of the lines that share a bucket with others: its first line, the one before, and its lines."""
-    whole = Window.partitionBy("band")
-    w = whole.orderBy("next", "id")
-    b = _bands(lines).select("band", "id", F.first("id").over(w).alias("head"), F.lag("id").over(w).alias("back"), F.count("*").over(whole).alias("n"))
-    return stored(b.where("n > 1"), "line-buckets")
+    def value(r: int) -> Column:
+        number = F.get(numbers[r], F.col("b"))
+        arc = F.get(arcs[r], F.col("b"))
+        start = F.get("starts", arc)
+        near = F.slice("among", start, F.get("starts", arc + 1) - start)
+        # less the points before it, so many hashes stand before the point; beyond the last the first comes again
+        return F.element_at("a", F.array_position(near, F.get(values[r], F.col("b"))).cast("int") + start - 1 - number)
 
+    return s.select(F.xxhash64("b", *[value(r) for r in range(ROWS)]).alias("band"), "id", "n")
 
-def _candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of one bucket: each line with the bucket's first and with the one before it.
 
-    Both come from one window, so a bucket of n lines gives fewer than 2n pairs.
-    """
-    e = buckets.where("back is not null").select("id", F.explode(F.array("head", "back")).alias("other")).where("id <> other")
-    e = e.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
-    return stored(e, "line-candidates")
+def _alike_in_size(n: Column, m: Column) -> Column:
+    """Only sets with such sizes can reach the similarity."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
+def _members(lines: DataFrame) -> DataFrame:
+    """(band, id, n) of the lines that share a bucket with others."""
+    w = Window.partitionBy("band").orderBy("id")
+    b = _bands(lines).select("band", "id", "n", F.lag("id").over(w).alias("back"), F.lead("id").over(w).alias("ahead"))
+    return stored(b.where("back is not null or ahead is not null").select("band", "id", "n"), "line-members")
+
 
+def _candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of one bucket: each line with the bucket's first, so a bucket of n lines gives fewer than n pairs."""
+    w = Window.partitionBy("band").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    e = members.select("id", "n", F.first("id").over(w).alias("head"), F.first("n").over(w).alias("m"))
+    return e.where((F.col("id") != F.col("head")) & _alike_in_size(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
 
-def _apart(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+
+def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs (a, b): all lines of one bucket that aren't in one component yet.
 
-    Most buckets are one component by now. A bucket that isn't is split into blocks, and all pairs of its blocks are compared, each in a
-    place of its own, so a large one doesn't meet in one task.
+    Most buckets are one component by now. In one that isn't, the lines outside its largest component meet all its lines, which are dealt
+    into blocks, so that a large bucket doesn't meet in one task and lines of one component aren't paired.
     """
-    m = buckets.where("n > 2").select("band", "id").join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    m = stored(m, "line-members")
-    mixed = m.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
-    m = m.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")), "band")
-    m = m.withColumn("own", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    x = m.select("band", F.col("own").alias("p"), F.col("other").alias("q"), F.col("id").alias("a"), F.col("c").alias("ca"))
-    y = m.select("band", F.col("other").alias("p"), F.col("own").alias("q"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, ["band", "p", "q"]).where("a > b and ca <> cb").select("a", "b").distinct()
+    m = members.join(joined, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
+    m = stored(m, "line-component-members")
+    parts = m.groupBy("band", "c").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("parts"))
+    mixed = mixed.where("parts > 1").select("band", F.col("most.c").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    m = m.join(mixed, "band")
+    few = m.where("c <> largest").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
+    every = m.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("p"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
+    both = few.join(every, ["band", "p"]).where((F.col("cx") != F.col("cy")) & _alike_in_size(F.col("nx"), F.col("ny")))
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles reach the similarity. The sets are made where both lines are, as they are larger than the lines."""
+    """The pairs whose sets of shingles reach the similarity. The set of a ``b`` is made once, as many pairs may share it."""
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    # arrays of one element name the values that are used more than once
-    sets = F.array(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")))
-    alike = F.exists(
-        sets,
-        lambda s: F.exists(
-            F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda common: common >= SIMILARITY * (F.size(s["x"]) + F.size(s["y"]) - common)
-        ),
-    )
-    return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
-
-
-def line_components(documents: DataFrame) -> DataFrame:
-    """(id, component) of the distinct lines that have a near copy; id is the line's hash."""
-    lines = _lines(documents)
-    buckets = _buckets(lines)
-    pairs = _candidates(buckets)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    maybe, _ = near_rows(lines.select(F.xxhash64("line").alias("id"), "line"), F.col("id"), ids)
-    # the lines that stand in pairs, one row for each distinct line
-    texts = stored(maybe.join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
-    main = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    first = cut(_verified(main, texts))
-    joined = components(first)
-    # the other pairs count only where the first ones haven't joined them already
-    ca, cb = joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    open_ = pairs.join(main, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    first = cut(first.union(_verified(open_.select("a", "b"), texts)))
-    # lines of one bucket that are still apart are all compared
-    rest = _apart(buckets, cut(components(first))).join(pairs, ["a", "b"], "left_anti")
+    shared = pairs.select(F.col("b").alias("id")).distinct()
+    b = texts.join(shared, "id", "left_semi").select(F.col("id").alias("b"), F.col("line").alias("y"))
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y"))
+    met = met.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return met.where(F.col("common") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
+
+
+def line_components(lines: DataFrame) -> DataFrame:
+    """(id, component) of the lines that have a near copy, of distinct lines (id, line)."""
+    members = _members(lines)
+    pairs = stored(_candidates(members), "line-candidates")
+    ids = members.select("id").distinct()
+    maybe, _ = near_rows(lines, F.col("id"), ids)
+    # the lines that share a bucket
+    texts = stored(maybe.join(ids, "id", "left_semi").select("id", "line"), "line-texts")
+    first = cut(_verified(pairs, texts))
+    rest = stored(_apart(members, cut(components(first))).join(pairs, ["a", "b"], "left_anti"), "line-rest")
     return components(first.union(_verified(rest, texts)))
 
 
+def _struck(lost: DataFrame) -> DataFrame:
+    """(id, drop) of rows (key, pos): the positions that a row loses; id is its key."""
+    return lost.groupBy(F.col("key").alias("id")).agg(F.collect_list("pos").alias("drop"))
+
+
+def _without(text: Column, drop: Column) -> Column:
+    """The lines of a text but for those at the positions ``drop`` (null: none)."""
+    rest = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop), lambda i: F.get(ls, i))
+    return F.when(drop.isNull(), F.split(text, "\n")).otherwise(F.flatten(F.transform(F.array(F.split(text, "\n")), rest)))
+
+
 def dropped_lines(documents: DataFrame) -> DataFrame:
-    """(key, drop): for each row of ``documents`` that loses lines, their positions."""
-    lines = stored(_lines(documents).select("doc_id", "key", "pos", F.xxhash64("line").alias("id")), "line-ids")
-    groups = cut(line_components(documents))
+    """(id, drop): for each key of ``documents`` that loses lines, their positions.
+
+    Equal lines are collapsed by their hash first, so that each distinct line has one signature.
+    """
+    rows = _keyed(documents)
+    lines = stored(_lines(rows).select("doc_id", "key", "pos", F.xxhash64("line").alias("id")), "line-ids")
     place = F.struct("doc_id", "key", "pos")
-    facts = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    facts = facts.join(groups, "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("component"), F.col("component").isNotNull().alias("fuzzy"))
-    exact = facts.where("not fuzzy and n > 1").select("id", "first")
-    fuzzy = facts.where("fuzzy")
-    low = fuzzy.groupBy("component").agg(F.min("first").alias("first"))
-    fuzzy = fuzzy.select("id", "component").join(low, "component").select("id", "first")
-    copies = stored(exact.union(fuzzy), "line-copies")
-    maybe, _ = near_rows(lines, F.col("id"), copies)
-    lost = maybe.join(copies, "id").where(~place.eqNullSafe(F.col("first")))
-    return lost.groupBy("key").agg(F.array_distinct(F.collect_list("pos")).alias("drop"))
-
-
-def with_kept_lines(documents: DataFrame) -> DataFrame:
-    """``documents`` with columns _lines (lines of the text), _kept (those that stay)."""
-    drops = stored(dropped_lines(documents), "line-drops").withColumnRenamed("key", "id")
-    rows = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    maybe, sure = near_rows(rows, F.col("_key"), drops)
-    lines = F.split("text", "\n")
-    hit = maybe.join(drops.select(F.col("id").alias("_key"), F.col("drop").alias("_drop")), "_key", "left").withColumn("_lines", lines)
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.array_contains("_drop", i)))
-    columns = documents.columns
-    hit = hit.withColumn("_kept", kept).select(*columns, "_lines", "_kept")
-    return hit.union(sure.select(*columns, lines.alias("_lines"), lines.alias("_kept")))
+    facts = stored(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-facts")
+    repeated = facts.where("n > 1").select("id", "first")
+    maybe, _ = near_rows(lines, F.col("id"), repeated)
+    again = maybe.join(repeated, "id").where(~place.eqNullSafe(F.col("first")))
+    strike = stored(_struck(again.select("key", "pos").distinct()), "line-repeats")
+    # the texts without the lines that also stand before: each line once
+    copies = lines.groupBy("key", "pos").agg(F.count("*").alias("n")).where("n > 1").select("key").distinct()
+    maybe, single = near_rows(rows, F.col("key"), copies.withColumnRenamed("key", "id"))
+    rows = single.union(maybe.join(copies, "key", "left_anti")).union(maybe.join(copies, "key", "left_semi").dropDuplicates(["key"]))
+    maybe, sure = near_rows(rows, F.col("key"), strike)
+    hit = maybe.join(strike.withColumnRenamed("id", "key"), "key", "left")
+    hit = hit.select("key", "doc_id", F.array_join(_without(F.col("text"), F.col("drop")), "\n").alias("text"))
+    distinct = _lines(sure.union(hit)).select(F.xxhash64("line").alias("id"), "line")
+
+    groups = cut(line_components(distinct))
+    placed = facts.join(groups, "id").select("id", "first", "component")
+    low = placed.groupBy("component").agg(F.min("first").alias("first"))
+    fuzzy = placed.select("id", "component").join(low, "component").select("id", "first")
+    fuzzy = stored(fuzzy, "line-groups")
+    maybe, _ = near_rows(lines, F.col("id"), fuzzy)
+    more = maybe.join(fuzzy, "id").where(~place.eqNullSafe(F.col("first"))).select("key", "pos")
+    return _struck(more.union(strike.select(F.col("id").alias("key"), F.explode("drop").alias("pos"))).distinct())
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """rows (key, text, and others) with a column drop, null where no line goes."""
+    drops = stored(dropped_lines(rows), "line-drops")
+    maybe, sure = near_rows(rows, F.col("key"), drops)
+    hit = maybe.join(drops.withColumnRenamed("id", "key"), "key", "left").select(*rows.columns, "drop")
+    return hit.union(sure.withColumn("drop", F.lit(None).cast("array<int>")))
 
 
 def deduped(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept and kept_sha256 (of the kept lines joined by line feeds, in UTF-8) of every row.
 
     Lines end at line feeds and are compared without white space at their ends. Two lines link when they are equal, or when
-    banding finds them and their sets of shingles have a Jaccard similarity of 0.8 or more; of each component of
-    linked lines the one with the smallest (doc_id, key, position) stays, and all other lines go. Blank lines always stay.
+    banding finds them and their sets of 5-character shingles, one from each character on, have a Jaccard similarity of 0.8 or
+    more. Of each component of linked lines the one with the smallest (doc_id, key, position) stays, and all other lines go.
+    Blank lines always stay. All lines of a bucket are compared that other links haven't joined, so banding is the only step
+    that may miss a pair.
+
     A null text has no lines and gives the digest of an empty text; very long lines and texts are taken whole; rows
     equal in doc_id and text count as one and keep the same lines; a null doc_id comes before all others. Other
     columns don't matter; an empty table gives an empty result.
     """
-    out = with_kept_lines(documents.select("doc_id", "text"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    none = F.col("text").isNull()
-    text = F.coalesce(F.array_join("_kept", "\n"), F.lit(""))
-    return out.select(
+    rows = _marked(_keyed(documents))
+    none, zero = F.col("text").isNull(), F.lit(0).cast("long")
+    all_ = F.size(F.split("text", "\n")).cast("long")
+    gone = F.coalesce(F.size("drop"), F.lit(0))
+    kept = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_without(F.col("text"), F.col("drop")), "\n"))
+    return rows.select(
         "doc_id",
-        F.when(none, F.lit(0).cast("long")).otherwise(size("_lines")).alias("n_lines"),
-        F.when(none, F.lit(0).cast("long")).otherwise(size("_kept")).alias("n_kept"),
-        F.sha2(text, 256).alias("kept_sha256"),
+        F.when(none, zero).otherwise(all_).alias("n_lines"),
+        F.when(none, zero).otherwise(all_ - gone).alias("n_kept"),
+        F.sha2(kept, 256).alias("kept_sha256"),
     )
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
     """``documents`` with only the kept lines in ``text``; rows that lose all they had go.
 
-    Where ``n_chars`` is a column it follows the text.
+    Where ``n_chars`` is a column it follows the text. Rows with a null or blank text stay as they are; columns of any name
+    are passed on. For ties, repeated rows and null ids see :func:`deduped`.
     """
     columns = documents.columns
-    out = with_kept_lines(documents)
-    text = F.array_join("_kept", "\n")
-    left = F.exists("_kept", lambda x: F.trim(x) != "")
-    had = F.exists("_lines", lambda x: F.trim(x) != "")
-    out = out.where(F.col("text").isNull() | left | ~had).withColumn("text", F.when(F.col("text").isNotNull(), text))
+    rows = documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    rows = _marked(rows)
+    kept = F.array_join(_without(F.col("text"), F.col("drop")), "\n")
+    rows = rows.select("row", "drop", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept"))
+    rows = rows.where(F.col("drop").isNull() | (F.btrim("kept", F.lit(" \t\r\n")) != ""))
+    new = {"text": F.col("kept")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*columns)
+        new["n_chars"] = F.when(F.col("drop").isNull(), F.col("row.n_chars")).otherwise(F.length("kept")).cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])

@@ -45,7 +45,7 @@ def test_lines_of_a_few_words_with_one_edit(spark):
 
 def test_families_that_share_a_bucket(spark, monkeypatch):
     # one bucket of 150 lines in this order: three families by turns, unlike each other
-    monkeypatch.setattr(line_dedup, "_bands", lambda lines: lines.select(F.lit(1).alias("band"), F.substring("line", 1, 3).alias("next"), F.xxhash64("line").alias("id")))
+    monkeypatch.setattr(line_dedup, "_bands", lambda lines: lines.select(F.lit(1).alias("band"), F.xxhash64("line").alias("id"), F.size(line_dedup._shingles(F.col("line"))).alias("n")))
     rnd = random.Random(9)
     body = ["".join(rnd.choice("abcdefghij ") for _ in range(120)) + "." for _ in range(3)]
     assert kept(spark, [f"{i:03d} {body[i % 3]}" for i in range(150)]) == 3
