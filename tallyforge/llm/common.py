@@ -71,6 +71,31 @@ def near_rows(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, D
     return near.select("_row.*"), far.select("_row.*")
 
 
+def lean(work):
+    """A task function over batches that gives its unused memory back when it ends: workers live on, idle or in other stages."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    """Return unused memory of Arrow and of the C library to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,7 +103,7 @@ def partitions(spark: SparkSession) -> int:
 # --- text as arrays -------------------------------------------------------------------------
 
 #: Bytes of text that are turned into arrays at a time (one longer document is taken alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SEP = np.zeros(256, bool)
 SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -20,7 +20,7 @@ def naive_phrases(sample, s):
     return n
 
 
-def test_automaton_parses_like_substring_search():
+def test_automaton_parses_like_substring_search(monkeypatch):
     rnd = random.Random(2)
     sample = "".join(rnd.choice("abc ") for _ in range(300))
     m = language_id.Model({"x": [sample]})
@@ -28,12 +28,23 @@ def test_automaton_parses_like_substring_search():
     own, _ = symbols.symbols([sample])
     table = "".join(map(chr, own[: language_id.SYMBOLS_PER_DOC].tolist() + [0]))
     texts = ["".join(rnd.choice("abcd ") for _ in range(rnd.randrange(1, 200))) for _ in range(40)]
-    s, bounds = symbols.symbols(texts)
-    got = m.phrases(s, bounds)[:, 0]
-    for k, _ in enumerate(texts):
-        part = "".join(map(chr, s[bounds[k] : bounds[k + 1]].tolist()))
-        # an unknown symbol counts as a phrase of its own and one more
-        assert abs(got[k] - naive_phrases(table, part)) <= sum(c not in table for c in part) + 1
+    texts += ["".join(rnd.choice(a) for _ in range(5000)) for a in ("abc ", "abcd ", "ab", "d", "aaaaaaaab")] + [sample * 9]
+    for segment in (language_id.SEGMENT, 7, 1):
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        s, bounds = symbols.symbols(texts)
+        got = m.phrases(s, bounds)[:, 0]
+        for k, _ in enumerate(texts):
+            part = "".join(map(chr, s[bounds[k] : bounds[k + 1]].tolist()))
+            assert got[k] == naive_phrases(table, part)
+
+
+def test_languages_of_other_scripts(spark):
+    words = {"el": "και το να δεν είναι για με που", "ru": "и в не на что он как это", "ja": "これは日本語の文章です 私たちは東京", "ar": "في من على هذا التي كان", "en": "the and of to in is that it", "de": "der die und das nicht ist mit ein"}
+    rnd = random.Random(3)
+    rows = [(k, " ".join(rnd.choice(w.split()) for _ in range(30)), la) for k in range(60) for la, w in words.items()]
+    df = spark.createDataFrame([(i, t, la) for i, (_, t, la) in enumerate(rows)], "doc_id long, text string, lang string")
+    truth = {i: la for i, (_, _, la) in enumerate(rows)}
+    assert all(r.lang_pred == truth[r.doc_id] for r in language_id.predicted(df).collect())
 
 
 def test_language_held_out_accuracy(spark):
