@@ -8,7 +8,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ship
+from tallyforge.llm.common import lean, ship
 from tallyforge.llm.vectors import TOP, best, is_query, usable
 
 #: Hash tables, probes a table, and rows of a block of one bucket (candidates, queries).
@@ -122,8 +122,8 @@ def nearest(embeddings: DataFrame, top: int = TOP, tables: int = TABLES, probes:
     id_kind = embeddings.schema["vec_id"].dataType.simpleString()
     schema = f"vec_id {id_kind}, embedding array<{element}>, dim int, t int, bucket int"
     keys = ["dim", "t", "bucket"]
-    c = rows.mapInArrow(index(False), schema)
-    q = rows.where(is_query(F.col("vec_id"))).mapInArrow(index(True), schema)
+    c = rows.mapInArrow(lean(index(False)), schema)
+    q = rows.where(is_query(F.col("vec_id"))).mapInArrow(lean(index(True)), schema)
     # at most tables * axes * lengths rows
     size = c.groupBy(*keys).agg(F.count("*").alias("n"))
     asked = q.groupBy(*keys).agg(F.count("*").alias("m"))

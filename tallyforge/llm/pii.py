@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ship, stored
+from tallyforge.llm.common import lean, ship, stored
 
 #: The base kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -101,7 +101,7 @@ def cooccurrences(documents: DataFrame) -> DataFrame:
                         c.append(z)
             yield pa.RecordBatch.from_pydict({"entity": pa.array(e, pa.string()), "term": pa.array(t, pa.string()), "context": pa.array(c, pa.string())})
 
-    return documents.select("text").mapInArrow(around, "entity string, term string, context string").distinct()
+    return documents.select("text").mapInArrow(lean(around), "entity string, term string, context string").distinct()
 
 
 #: So many terms may be broadcast; more are matched by a join.
@@ -124,7 +124,7 @@ def words_of(documents: DataFrame) -> DataFrame:
                 if text and (own := list(words(text))):
                     yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(own), pa.int64()), "term": pa.array(own, pa.string())})
 
-    return documents.select(F.xxhash64("text").alias("key"), "text").mapInArrow(split, "key bigint, term string")
+    return documents.select(F.xxhash64("text").alias("key"), "text").mapInArrow(lean(split), "key bigint, term string")
 
 
 def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
                     seen.update(shared.value.intersection(words(text)))
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    return documents.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(lean(count), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def revealed(documents: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def found(documents: DataFrame, texts: bool = False) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string" + (", clean string" if texts else "")
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(lean(work), schema)
 
 
 def all_spans(text: str, terms: frozenset[str]) -> tuple[list, list]:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import ship
+from tallyforge.llm.common import lean, ship
 
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "
@@ -274,4 +274,4 @@ def encoded(documents: DataFrame, model_name: str = "piece_bpe_32k.model", ids:
                 yield pa.RecordBatch.from_pydict(cols)
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return documents.select("doc_id", "text").mapInArrow(lean(work), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ship, shingle_hashes, text_chunks
+from tallyforge.llm.common import lean, shingle_hashes, ship, text_chunks
 
 #: Bound of the labelled rows that are learned from.
 FIT_ROWS = 20_000
@@ -230,7 +230,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     # near copies count once: the words of one much-copied document aren't terms
     kind = documents.schema["doc_id"].dataType.simpleString()
     named = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(y), "doc_id")
-    apart = named.mapInArrow(sign, f"doc_id {kind}, sig bigint, y int").groupBy("sig", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y")
+    apart = named.mapInArrow(lean(sign), f"doc_id {kind}, sig bigint, y int").groupBy("sig", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y")
     unlike = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(apart), "doc_id").select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         yield _counted(pos, neg)
 
     schema = "feature string, pos bigint, neg bigint"
-    sums = unlike.mapInArrow(count, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = unlike.mapInArrow(lean(count), schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     first = sums.where(f"pos >= {MIN_DOCS} and pos >= 4 * neg").collect()
     positives = unlike.agg(F.sum("y")).first()[0] or 0
     terms = chosen_terms([(r.feature, r.pos, r.neg) for r in first], positives)
@@ -264,7 +264,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                 (pos if label else neg).update({t for _, _, t, d in lex.hits(text.lower()) if d})
         yield _counted(pos, neg)
 
-    by_term = unlike.mapInArrow(judge_terms, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("feature <> ''").collect()
+    by_term = unlike.mapInArrow(lean(judge_terms), schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("feature <> ''").collect()
     exact_only = frozenset(r.feature for r in by_term if r.neg >= 2 and r.pos < 4 * r.neg)
 
     shared = spark.sparkContext.broadcast((terms, exact_only))

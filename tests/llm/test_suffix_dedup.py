@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from hypothesis import given, settings
@@ -47,5 +48,43 @@ def test_removed_bytes_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def shared_words(rows, n=suffix_dedup.PASSAGE):
+    texts = {(t or "") for _, t in rows}
+    words = {t: [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)) if w] for t in texts}
+    times = Counter(t or "" for _, t in rows)
+    holders = Counter()
+    for t, w in words.items():
+        for x in {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}:
+            holders[x] += 2 if times[t] > 1 else 1
+    out = []
+    for i, t in rows:
+        w, inside = words[t or ""], set()
+        for k in range(len(w) - n + 1):
+            if holders[tuple(w[k : k + n])] > 1:
+                inside |= set(range(k, k + n))
+        out.append((i, len(inside)))
+    return sorted(out, key=str)
+
+
+def test_shared_words_equal_brute_force(spark):
+    rnd = random.Random(15)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 6))) for _ in range(300)]
+    some = lambda n: [rnd.choice(words) for _ in range(n)]
+    passages = [some(n) for n in (49, 50, 51, 70, 120)]
+    rows = [(0, None), (1, ""), (2, "a " * 49), (3, "a " * 60), (4, "b " * 30)]
+    for i in range(10, 70):
+        t = some(rnd.randrange(0, 60))
+        for _ in range(rnd.randrange(0, 3)):
+            p = list(rnd.choice(passages))
+            if rnd.random() < 0.3:
+                p[rnd.randrange(len(p))] = "edit"
+            t += p + some(rnd.randrange(0, 20))
+        rows.append((i, rnd.choice([" ", "\n", " \t"]).join(t)))
+    rows += [(90, rows[20][1]), (91, rows[20][1]), (92, rows[22][1].upper() if rows[22][1].isascii() else rows[22][1]), (93, "b " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shared_words) for r in suffix_dedup.removed(df).collect()), key=str)
+    assert got == shared_words(rows)
+
+
 def test_empty_table(spark):
     assert suffix_dedup.removed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
