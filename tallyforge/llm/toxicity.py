@@ -6,12 +6,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import lean, shingle_hashes, ship, text_chunks
+from tallyforge.llm.common import lean, shingle_hashes, ship, stored, text_chunks
 
 #: Bound of the labelled rows that are learned from.
 FIT_ROWS = 20_000
@@ -29,11 +28,15 @@ WINDOW = 8
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes term word reported dit disait sagte schrieb zitat dijo cita".split())
 OPEN_MARKS, CLOSE_MARKS = "\"“”„«‹'‘", "\"”“»›'’"
 QUOTED_WEIGHT = 0.4
+#: The weight of a misspelled hit beside others.
+FUZZY_WEIGHT = 0.5
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.3
 #: Pseudo-counts for each class of evidence: (toxic, clean).
 PRIOR = {"none": (0.02, 1.0), "quoted": (0.5, 2.0), "fuzzy": (0.6, 0.4), "one": (0.9, 0.1), "more": (0.95, 0.05)}
 
+#: The classes from the weakest evidence to the strongest.
+CLASSES = ("none", "quoted", "fuzzy", "one", "more")
 #: Words without a hit that a task remembers.
 CLEAN_WORDS = 600_000
 
@@ -147,24 +150,28 @@ def quoted(text: str, start: int, end: int) -> bool:
     return opened % 2 == 1 and any(c in CLOSE_MARKS for c in after)
 
 
-def evidence(lexicon: Lexicon, text: str) -> str:
-    """The class of a document: none, quoted, fuzzy, one or more (exact) hits outside quotation."""
-    exact, fuzzy, any_quoted = 0.0, 0, False
+def weigh(lexicon: Lexicon, text: str) -> tuple[str, float]:
+    """The class of a document (none, quoted, fuzzy, one or more exact hits outside quotation), and its hits beyond what the class needs."""
+    exact, fuzzy, in_quotes = 0.0, 0, 0
     for start, end, _, d in lexicon.hits(text):
         if quoted(text, start, end):
-            any_quoted = True
+            in_quotes += 1
             exact += QUOTED_WEIGHT if d == 0 else 0
         elif d:
             fuzzy += 1
         else:
             exact += 1
     if exact >= 2:
-        return "more"
+        return "more", exact - 2 + FUZZY_WEIGHT * fuzzy
     if exact >= 1:
-        return "one"
+        return "one", exact - 1 + FUZZY_WEIGHT * fuzzy
     if fuzzy:
-        return "fuzzy"
-    return "quoted" if any_quoted else "none"
+        return "fuzzy", exact + FUZZY_WEIGHT * (fuzzy - 1)
+    return ("quoted", QUOTED_WEIGHT * (in_quotes - 1)) if in_quotes else ("none", 0.0)
+
+
+def evidence(lexicon: Lexicon, text: str) -> str:
+    return weigh(lexicon, text)[0]
 
 
 class Model:
@@ -219,7 +226,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if total > rows:
         y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * 0.97 * rows / total))
     # about ``rows`` ids at most
-    sample = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(y), "doc_id").select("text", "y")
+    sample = stored(documents.select("doc_id", "text").where("text is not null").join(F.broadcast(y), "doc_id").select("doc_id", "text", "y"), "labelled")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tallyforge.llm.toxicity import signatures
@@ -229,9 +236,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     # near copies count once: the words of one much-copied document aren't terms
     kind = documents.schema["doc_id"].dataType.simpleString()
-    named = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(y), "doc_id")
-    apart = named.mapInArrow(lean(sign), f"doc_id {kind}, sig bigint, y int").groupBy("sig", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y")
-    unlike = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(apart), "doc_id").select("text", "y")
+    apart = sample.mapInArrow(lean(sign), f"doc_id {kind}, sig bigint, y int").groupBy("sig", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y")
+    unlike = sample.drop("y").join(F.broadcast(apart), "doc_id").select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tallyforge.llm.toxicity import features
@@ -269,12 +275,13 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     shared = spark.sparkContext.broadcast((terms, exact_only))
 
-    @F.pandas_udf("string")
-    def klass(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def klass(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tallyforge.llm.toxicity import Lexicon, evidence
 
         lex = Lexicon(*shared.value)
-        return pd.Series([evidence(lex, t.lower()) for t in texts], index=texts.index, dtype="str")
+        for texts in batches:
+            yield pa.array([evidence(lex, t.lower()) for t in texts.to_pylist()], pa.string())
 
     counts = {r.k: (r.p, r.n - r.p) for r in sample.select(klass("text").alias("k"), "y").groupBy("k").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()}
     return Model(terms, counts, exact_only)
@@ -308,34 +315,49 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast((model.terms, model.exact_only, model.score))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        from tallyforge.llm.toxicity import scores
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tallyforge.llm.common import release
+        from tallyforge.llm.toxicity import Scorer
 
-        return pd.Series(scores(shared.value, texts.tolist()), index=texts.index, dtype="float64")
+        scorer = Scorer(*shared.value)
+        for texts in batches:
+            yield pa.array(scorer(texts.to_pylist()), pa.float64())
+        release()
 
     held = F.coalesce(~train_rows(F.col("doc_id")), F.lit(False))
     out = documents.select("doc_id", held.alias("held_out"), score("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def scores(shared, texts: list[str | None]) -> list[float]:
-    """The score of each text; words known to be no hits are remembered, so most cost a set operation."""
-    terms, exact_only, by_class = shared
-    lex = Lexicon(terms, exact_only)
-    clean: set[str] = set()
-    hit: set[str] = set()
-    out = []
-    for i in range(0, len(texts), 256):
-        low = [(t or "").lower() for t in texts[i : i + 256]]
-        words = [set(WORD.findall(t)) for t in low]
-        fresh = set().union(*words)
-        fresh -= clean
-        fresh -= hit
-        found = {w for w in fresh if lex.find(w)}
-        hit |= found
-        clean |= fresh - found
-        if len(clean) > CLEAN_WORDS:
-            clean.clear()
-        out += [by_class["none"] if hit.isdisjoint(w) else by_class[evidence(lex, t)] for t, w in zip(low, words, strict=True)]
-    return out
+class Scorer:
+    """Scores of texts. Words known to be no hits are remembered over the batches of a task, so most cost a set operation."""
+
+    def __init__(self, terms: list[str], exact_only: frozenset[str], by_class: dict[str, float]):
+        self.lexicon = Lexicon(terms, exact_only)
+        self.clean: set[str] = set()
+        self.hit: set[str] = set()
+        levels = [by_class[k] for k in CLASSES] + [1.0]
+        #: A class's score, and what more hits than it needs add at most.
+        self.levels = {k: (levels[i], max(0.0, levels[i + 1] - levels[i])) for i, k in enumerate(CLASSES)}
+
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        out: list[float] = []
+        for i in range(0, len(texts), 256):
+            low = [(t or "").lower() for t in texts[i : i + 256]]
+            words = [set(WORD.findall(t)) for t in low]
+            fresh = set().union(*words)
+            fresh -= self.clean
+            fresh -= self.hit
+            found = {w for w in fresh if self.lexicon.find(w)}
+            self.hit |= found
+            self.clean |= fresh - found
+            out += [self.levels["none"][0] if self.hit.isdisjoint(w) else self.score(t) for t, w in zip(low, words, strict=True)]
+            if len(self.clean) > CLEAN_WORDS:
+                self.clean.clear()
+        return out
+
+    def score(self, text: str) -> float:
+        kind, more = weigh(self.lexicon, text)
+        base, room = self.levels[kind]
+        return base + room * (1 - 2.0**-more)

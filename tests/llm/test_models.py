@@ -96,6 +96,36 @@ def test_trie_and_automaton_find_all_single_edits():
     assert lex.find("stopped") is None and lex.find("worth") is None and lex.find("") is None
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_words_found_equal_plain_distances_to_the_lexicon():
+    rnd = random.Random(12)
+    terms = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(3, 9))) for _ in range(40)})
+    exact_only = frozenset(terms[::7])
+    lex = toxicity.Lexicon(terms, exact_only)
+    for _ in range(3000):
+        w = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 10)))
+        near = [t for t in terms if len(t) >= toxicity.FUZZY_FROM and t not in exact_only and distance(w, t) <= 1]
+        got = lex.find(w)
+        assert got == (w, 0) if w in terms else (got is not None and got[0] in near and got[1] == 1) if near else got is None
+
+
+def test_more_evidence_scores_higher():
+    model = toxicity.Model(["stupid", "idiot", "worthless"], {})
+    s = toxicity.Scorer(model.terms, model.exact_only, model.score)
+    texts = ["clean", None, 'the word "stupid" is rude', "stupiid", "stupid", "stupid worthles", "stupid idiot", "stupid idiot worthless"]
+    got = s(texts)
+    assert got[0] == got[1] and got[1:] == sorted(got[1:]) and len(set(got)) == 7 and all(0 <= x <= 1 for x in got)
+
+
 def test_quotation_weighs_less():
     lex = toxicity.Lexicon(["stupid", "idiot"])
     assert toxicity.evidence(lex, "you are a stupid person") == "one"
