@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import feeds, matching, parsing, prices, records, registry, reports, texts, upkeep  # noqa: F401
+from tallyforge.plans import feeds, ledger, matching, parsing, prices, records, registry, reports, texts, upkeep  # noqa: F401
 
 
 def queries() -> dict:
