@@ -35,6 +35,52 @@ def stream_lww_rules(m):
     return table.read().select("id", "change_id", F.lit(1).cast("bigint").alias("version"), "money_conflict")
 
 
+#: The parts in which the changes arrive, one batch each.
+ARRIVALS = 4
+
+
+def arriving(m, folder: str) -> str:
+    """The feed as files that arrive one after the other, each with a part of the changes; returns their folder."""
+    for k in range(ARRIVALS):
+        part = m.feed.where(c("change_id") % ARRIVALS == k).select("id", "change_id", "updated_at", (c("change_id") % ARRIVALS * 10**12 + c("change_id")).alias("arrival"))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+@query(
+    f"""SELECT id, COUNT(*) FILTER (ok) AS version, COUNT(*) FILTER (NOT ok) AS conflicts, arg_max(change_id, arrival) FILTER (ok) AS change_id
+  FROM (SELECT *, coalesce(updated_at >= max(updated_at) OVER (PARTITION BY id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok
+    FROM (SELECT id, change_id, updated_at, change_id % {ARRIVALS} * 1000000000000 + change_id AS arrival FROM feed)) GROUP BY 1"""
+)
+def stream_push_versions(m):
+    """Changes pushed in several batches: the version of each row, its refused changes, and the change that stands."""
+    folder = shared_folder(m.spark)
+    path = arriving(m, folder + "/in")
+    table = S.VersionedTable(m.spark, folder + "/state")
+    S.run(S.read_stream(m.spark, path, m.spark.read.parquet(path).schema), S.push_versions(table), folder + "/checkpoint")
+    return table.read().select("id", "version", "conflicts", "change_id")
+
+
+@query(
+    """SELECT 'invoice_items' AS tbl, item_id AS id, CASE WHEN b.duplicate_status = 'duplicate' THEN 'skipped_duplicate_invoice' ELSE 'accepted' END AS state FROM items i JOIN base b ON b.invoice_id = i.invoice_id
+  UNION ALL SELECT 'invoice_discounts', CAST(d.invoice_id AS VARCHAR), CASE WHEN b.duplicate_status = 'duplicate' THEN 'skipped_duplicate_invoice' ELSE 'accepted' END FROM discounts d JOIN base b ON b.invoice_id = d.invoice_id
+  UNION ALL SELECT 'price_history', item_id, 'skipped_generated' FROM prices"""
+)
+def stream_gate_rows(m):
+    """What the gate does with each pushed row: lines and discounts of rejected invoices and generated price rows are skipped."""
+    folder = shared_folder(m.spark)
+    gate = m.base.select("invoice_id", (c("duplicate_status") == "duplicate").alias("no"))
+    state = F.when(c("no"), "skipped_duplicate_invoice").otherwise("accepted").alias("state")
+    lines = item_stream(m).join(gate, "invoice_id").select(F.lit("invoice_items").alias("tbl"), c("item_id").alias("id"), state)
+    m.discounts.select("invoice_id").write.parquet(folder + "/discounts")
+    d = S.read_stream(m.spark, folder + "/discounts", m.spark.read.parquet(folder + "/discounts").schema, 1000)
+    d = d.join(gate, "invoice_id").select(F.lit("invoice_discounts").alias("tbl"), c("invoice_id").cast("string").alias("id"), state)
+    p = price_stream(m).select(F.lit("price_history").alias("tbl"), c("item_id").alias("id"), F.lit("skipped_generated").alias("state"))
+    for k, stream in enumerate((lines, d, p)):
+        S.run(stream, lambda b, n, k=k: b.write.mode("overwrite").parquet(f"{folder}/out/s={k}/b={n}"), f"{folder}/checkpoint{k}")
+    return m.spark.read.parquet(folder + "/out").select("tbl", "id", "state")
+
+
 def item_stream(m):
     raw = S.read_stream(m.spark, f"{m.sf_dir}/lineitem.parquet", m.table("lineitem").schema)
     part = m.table("part").select("p_partkey", "p_name", "p_brand")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.state import accept, latest_per_key
@@ -28,17 +28,37 @@ def run(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: s
 
 
 class VersionedTable:
-    """A table that each batch writes as a new version; readers take the last one. A batch that is repeated writes the same."""
+    """A table that each batch writes as a new version; readers take the last complete one, after a restart too.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, None
+    A batch that is repeated reads what was there before it and writes the same again. The two last versions are kept.
+    """
 
-    def read(self) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.path}/v{self.version}")
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _folder(self):
+        """The folder's path and file system, wherever it is."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """The complete versions, in order."""
+        path, fs = self._folder()
+        if not fs.exists(path):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n[1:]) for n in done)
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        found = [v for v in self.versions() if before is None or v < before]
+        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        self.version = batch
+        _, fs = self._folder()
+        for v in self.versions()[:-2]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}"), True)
 
 
 def last_write_wins(table: VersionedTable, rules: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -47,13 +67,39 @@ def last_write_wins(table: VersionedTable, rules: Callable[[DataFrame], DataFram
 
     def work(batch: DataFrame, n: int) -> None:
         new = latest_per_key(batch, ["id"], order)
-        stored = table.read()
+        stored = table.read(before=n)
         out = new.withColumn("conflict", F.lit(False)) if stored is None else accept(stored.drop("conflict"), new)
         table.write(rules(out) if rules else out, n)
 
     return work
 
 
+def push_versions(table: VersionedTable) -> Callable[[DataFrame, int], None]:
+    """A batch function for pushed changes (id, arrival, change_id, updated_at).
+
+    A change that is older than what is stored is a conflict and changes nothing; any other replaces the row and raises its
+    version by one. The changes of a batch count in the order of their arrival.
+    """
+    columns = ("id", "change_id", "updated_at", "version", "conflicts")
+
+    def work(batch: DataFrame, n: int) -> None:
+        stored = table.read(before=n)
+        if stored is None:
+            stored = batch.limit(0).selectExpr("id", "change_id", "updated_at", "cast(0 as bigint) as version", "cast(0 as bigint) as conflicts")
+        stored = stored.select(c("id"), *[c(k).alias(f"old_{k}") for k in columns[1:]])
+        w = Window.partitionBy("id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.greatest(F.max("updated_at").over(w), c("old_updated_at"))
+        d = batch.join(stored.select("id", "old_updated_at"), "id", "left").withColumn("ok", F.coalesce(c("updated_at") >= before, F.lit(True)))
+        last = F.max_by(F.struct("change_id", "updated_at"), F.when(c("ok"), c("arrival")))
+        d = d.groupBy("id").agg(F.count_if("ok").alias("taken"), F.count_if(~c("ok")).alias("refused"), last.alias("last")).join(stored, "id", "full_outer")
+        zero = F.lit(0).cast("bigint")
+        add = lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero)
+        new = [F.coalesce(f"last.{k}", f"old_{k}").alias(k) for k in ("change_id", "updated_at")]
+        table.write(d.select("id", *new, add(c("old_version"), c("taken")).alias("version"), add(c("old_conflicts"), c("refused")).alias("conflicts")), n)
+
+    return work
+
+
 def running_prices(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Each price against the mean of those before it; the state is their number and sum in ten-thousandths."""
     n, total = state.get if state.exists else (0, 0)
