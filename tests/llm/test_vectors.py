@@ -69,6 +69,35 @@ def test_neighbours_of_unlike_lengths_and_bad_vectors(spark, monkeypatch):
     assert sum(len(got[q] & {i for i, _ in true[q]}) for q in got) >= 0.9 * sum(len(v) for q, v in true.items() if q < 300)
 
 
+def test_index_follows_the_data(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(150, 32))
+    data = (centers[rng.integers(0, 150, 6000)] + 0.15 * rng.normal(size=(6000, 32))).astype(np.float32)
+    x = data.astype(float)
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    fine, probes, recall, share = ann.fitted(u, u, np.arange(len(u)), 20, ann.TABLES)
+    assert recall >= ann.RECALL and share < 0.15  # close neighbours: a small share of the rows is looked at
+    noise = rng.normal(size=(2000, 32))
+    v = noise / np.sqrt((noise * noise).sum(1))[:, None]
+    assert ann.fitted(v, v, np.arange(len(v)), 20, ann.TABLES)[2] >= ann.RECALL
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(u)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    near = u[::20] @ u.T
+    near[np.arange(len(near)), np.arange(0, len(u), 20)] = -9
+    true = np.argsort(-near, 1)[:, :20]
+    assert sum(len(got[20 * k] & set(t.tolist())) for k, t in enumerate(true)) >= 0.9 * true.size
+
+
+def test_finer_buckets_hold_the_row_itself():
+    x = np.random.default_rng(2).normal(size=(50, 16))
+    for fine in (1, 8):
+        all_ = ann.buckets(x, 1, 32 * fine, fine)
+        assert (np.sort(all_, 1) == np.arange(32 * fine)).all() and (ann.buckets(x, 1, 1, fine)[:, 0] == all_[:, 0]).all()
+        assert (ann.buckets(x, 1, 5, fine) == all_[:, :5]).all()
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 11))
     assert np.allclose((ann.rotate(x, 3) ** 2).sum(1), (x**2).sum(1))
