@@ -16,8 +16,9 @@ TABLES = 8
 CANDIDATES, QUERIES = 4096, 2048
 SEED = 20
 #: The index is fitted on so many rows at most: axes of the second hash (1: none) and probes a table, so that the sample's own queries
-#: have this recall at the fewest products. More rows only bring the neighbours closer.
-SAMPLE, SAMPLE_QUERIES, RECALL = 16_384, 128, 0.94
+#: have this recall at the least cost: products, and copies of the query, each counted as so many products. More rows only bring the
+#: neighbours closer.
+SAMPLE, SAMPLE_QUERIES, RECALL, COPY = 16_384, 128, 0.94, 50
 FINE = (1, 8, 32)
 PROBED = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512, 1024)
 
@@ -67,10 +68,10 @@ def buckets(x: np.ndarray, table: int, probes: int, fine: int = 1) -> np.ndarray
     return np.take_along_axis(p, k // fine, 1) * fine + k % fine
 
 
-def fitted(indexed: np.ndarray, asked: np.ndarray, ids: np.ndarray, top: int, tables: int) -> tuple[int, int, float, float]:
+def fitted(indexed: np.ndarray, asked: np.ndarray, ids: np.ndarray, top: int, tables: int, total: int) -> tuple[int, int, float, float]:
     """Axes of the second hash, probes a table, the recall and the share of the rows that a query is compared with, on a sample.
 
-    ``indexed`` and ``asked`` are the sample's unit vectors as rows of the index and as queries.
+    ``indexed`` and ``asked`` are the sample's unit vectors as rows of the index and as queries; ``total`` is the number of all rows.
     """
     n = len(indexed)
     q = np.arange(0, n, max(1, n // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
@@ -81,7 +82,7 @@ def fitted(indexed: np.ndarray, asked: np.ndarray, ids: np.ndarray, top: int, ta
         return 1, 1, 1.0, 1.0
     true = np.argpartition(-near, k - 1, axis=1)[:, :k]
     axes = 2 * rotate(indexed[:1], 0).shape[1]
-    best = None
+    best, least = None, np.inf
     for fine in FINE:
         home = [buckets(indexed, t, 1, fine)[:, 0] for t in range(tables)]
         probes = [x for x in PROBED if x < axes * fine] + [axes * fine]
@@ -97,8 +98,9 @@ def fitted(indexed: np.ndarray, asked: np.ndarray, ids: np.ndarray, top: int, ta
             recall = (first < x).mean()
             share = (met < x).mean() * tables
             if recall >= RECALL or x == probes[-1]:
-                if best is None or (recall >= RECALL and share < best[3]):
-                    best = (fine, x, float(recall), float(share))
+                cost = share * total + COPY * tables * x
+                if best is None or (recall >= RECALL and cost < least):
+                    best, least = (fine, x, float(recall), float(share)), cost
                 break
     return best
 
@@ -149,7 +151,7 @@ def sample_fit(rows: DataFrame, count: int, even: bool, longest: float, top: int
     dims = got.column("dim").to_numpy()
     got = got.filter(pa.compute.equal(got.column("dim"), int(np.bincount(dims).argmax())))
     x = matrix(got)
-    return fitted(unit(x, even, longest, False), unit(x, even, longest, True), ids(got), top, tables)
+    return fitted(unit(x, even, longest, False), unit(x, even, longest, True), ids(got), top, tables, count)
 
 
 def nearest(embeddings: DataFrame, top: int = TOP, tables: int = TABLES, probes: int | None = None, fine: int = 1) -> DataFrame:

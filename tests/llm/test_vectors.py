@@ -75,11 +75,12 @@ def test_index_follows_the_data(spark):
     data = (centers[rng.integers(0, 150, 6000)] + 0.15 * rng.normal(size=(6000, 32))).astype(np.float32)
     x = data.astype(float)
     u = x / np.sqrt((x * x).sum(1))[:, None]
-    fine, probes, recall, share = ann.fitted(u, u, np.arange(len(u)), 20, ann.TABLES)
+    fine, probes, recall, share = ann.fitted(u, u, np.arange(len(u)), 20, ann.TABLES, len(u))
     assert recall >= ann.RECALL and share < 0.15  # close neighbours: a small share of the rows is looked at
+    assert ann.fitted(u, u, np.arange(len(u)), 20, ann.TABLES, 10**8)[3] <= share + 1e-9
     noise = rng.normal(size=(2000, 32))
     v = noise / np.sqrt((noise * noise).sum(1))[:, None]
-    assert ann.fitted(v, v, np.arange(len(v)), 20, ann.TABLES)[2] >= ann.RECALL
+    assert ann.fitted(v, v, np.arange(len(v)), 20, ann.TABLES, len(v))[2] >= ann.RECALL
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(u)], "vec_id long, embedding array<double>")
     got = {}
     for r in ann.nearest(df).collect():
