@@ -219,7 +219,7 @@ def shared_windows(spans: list[bytes], counts: list[int]) -> list[list[tuple[int
 
 
 def anchored(texts: DataFrame) -> DataFrame:
-    """(words, h, whole, th, lo, hi): the runs of windows of distinct texts (th, text), of bytes and of words."""
+    """(words, h, whole, th, lo, hi, all): the runs of windows of distinct texts (th, text), of bytes and of words, whose anchor has more than one."""
     ship(texts.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,10 @@ def anchored(texts: DataFrame) -> DataFrame:
                     cols = [pa.array(np.full(len(d), words, bool)), pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(th[i + d]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(cols, ["words", "h", "whole", "th", "lo", "hi"])
 
-    return stored(texts.mapInArrow(lean(find), "words boolean, h bigint, whole bigint, th bigint, lo int, hi int"), "anchors")
+    found = stored(texts.mapInArrow(lean(find), "words boolean, h bigint, whole bigint, th bigint, lo int, hi int"), "anchors")
+    many = stored(found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1"), "anchors-again")
+    maybe, _ = near_rows(found, F.col("h"), many.select(F.col("h").alias("id")))
+    return stored(maybe.join(many, "h"), "runs")
 
 
 def shared_passages(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -241,12 +244,11 @@ def shared_passages(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     Runs that are equal as a whole are shared; of other runs with a shared anchor, each window is compared by its hash.
     """
-    runs = found.where("words").drop("words")
+    runs = found.where("words").select("h", "whole", "th", "lo", "hi")
     both = runs.groupBy("h", "whole").agg(F.min("th").alias("t1"), F.max("th").alias("t2"))
     wide = both.groupBy("h").agg(F.min("t1").alias("low"), F.max("t2").alias("high"), F.count("*").alias("kinds")).where("low <> high").select("h", "kinds")
-    known = stored(both.join(wide, "h").select("h", "whole", "t1", "kinds", (F.col("t1") != F.col("t2")).alias("equal")), "passage-runs")
-    maybe, _ = near_rows(runs, F.col("h"), known.select(F.col("h").alias("id")))
-    met = maybe.join(known, ["h", "whole"])
+    known = both.join(wide, "h").select("h", "whole", "t1", "kinds", (F.col("t1") != F.col("t2")).alias("equal"))
+    met = stored(runs.join(known, ["h", "whole"]), "passage-runs")
     # of equal runs the one in the first text stands for all
     unlike = stored(met.where("not equal or kinds > 1 and th = t1").groupBy("th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "passage-unlike")
     some, _ = near_rows(texts, F.col("th"), unlike.select(F.col("th").alias("id")))
@@ -275,11 +277,9 @@ def shared_passages(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 def repeated_windows(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(th, lo, hi): runs of windows of bytes that also start elsewhere, of distinct texts (th, text)."""
-    found = found.where("not words").drop("words")
+    found = found.where("not words").select("h", "whole", "th", "lo", "hi", "all")
     # equal spans are one, with a count; spans of one anchor that differ are compared by their suffixes
-    spans = found.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("th", "lo", "hi")).alias("rep"))
-    kinds = found.groupBy("h").agg(F.count("*").alias("all"))
-    spans = stored(spans.join(kinds.where("all > 1"), "h"), "spans")
+    spans = stored(found.groupBy("h", "whole").agg(F.count("*").alias("c"), F.max("all").alias("all"), F.min(F.struct("th", "lo", "hi")).alias("rep")), "spans")
     copies = spans.where("c > 1").select(F.col("whole").alias("id"), "h")
     maybe, _ = near_rows(found, F.col("whole"), copies)
     equal = maybe.join(copies.withColumnRenamed("id", "whole"), ["h", "whole"], "left_semi").select("th", "lo", "hi")
