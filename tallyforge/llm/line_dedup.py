@@ -16,6 +16,8 @@ SHINGLE = 5
 BANDS, ROWS = 20, 6
 #: Lines of a block of a bucket.
 BLOCK = 256
+#: Words of 64 bits in a line's bitmap.
+WORDS = 32
 #: Lines link from this similarity on.
 SIMILARITY = 0.8
 
@@ -89,18 +91,46 @@ def _members(lines: DataFrame) -> DataFrame:
     return stored(b.where("back is not null or ahead is not null").select("band", "id", "n"), "line-members")
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of one bucket: each line with the bucket's first, so a bucket of n lines gives fewer than n pairs."""
-    w = Window.partitionBy("band").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    e = members.select("id", "n", F.first("id").over(w).alias("head"), F.first("n").over(w).alias("m"))
-    return e.where((F.col("id") != F.col("head")) & _alike_in_size(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+def _candidates(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of one bucket: each line with the bucket's first, so a bucket of n lines gives fewer than n pairs.
+
+    First is the line that stands most often in the texts (weights: id, copies; 1 where it isn't named), as edited copies of a line
+    are near it and not always near each other.
+    """
+    w = Window.partitionBy("band").orderBy(F.coalesce("copies", F.lit(1)).desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    e = members.join(weights, "id", "left").select("id", "n", F.first("id").over(w).alias("head"), F.first("n").over(w).alias("m"))
+    e = e.where((F.col("id") != F.col("head")) & _alike_in_size(F.col("n"), F.col("m")))
+    return e.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(id, s0, s1, ...): a bitmap of 64 * WORDS bits for each line, in which each shingle sets one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("coded") - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
+    h = texts.select("id", F.encode("line", "UTF-32").alias("coded")).select("id", "coded", F.explode(starts).alias("k"))
+    h = h.select("id", F.xxhash64(F.substring("coded", F.col("k"), F.lit(4 * SHINGLE))).alias("h"))
+    h = h.select("id", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    return h.groupBy("id").agg(*[F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(WORDS)])
+
+
+def _may_reach() -> Column:
+    """Whether the sets of x and y, by their bitmaps, may reach the similarity: a bit of one that the other lacks stands for a shingle it lacks."""
+
+    def reaches(p: str, q: str) -> Column:
+        lacking = F.lit(0)
+        for k in range(WORDS):
+            lacking = lacking + F.bit_count(F.col(f"{p}.s{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.s{k}"))))
+        # so many shingles in common at most, against what the similarity asks for
+        return (F.col(f"{p}.n") - lacking) * (1 + SIMILARITY) >= SIMILARITY * (F.col("x.n") + F.col("y.n")) - 1e-6
+
+    return reaches("x", "y") & reaches("y", "x")
 
 
-def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (a, b): all lines of one bucket that aren't in one component yet.
+def _apart(members: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b): all lines of one bucket that aren't in one component yet and may be near.
 
     Most buckets are one component by now. In one that isn't, the lines outside its largest component meet all its lines, which are dealt
-    into blocks, so that a large bucket doesn't meet in one task and lines of one component aren't paired.
+    into blocks, so that a large bucket doesn't meet in one task and lines of one component aren't paired. A pair whose bitmaps rule it out
+    ends there.
     """
     m = members.join(joined, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
     m = stored(m, "line-component-members")
@@ -108,10 +138,15 @@ def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
     mixed = parts.groupBy("band").agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("parts"))
     mixed = mixed.where("parts > 1").select("band", F.col("most.c").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("blocks"))
     m = m.join(mixed, "band")
-    few = m.where("c <> largest").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("p"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    every = m.select("band", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("p"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-    both = few.join(every, ["band", "p"]).where((F.col("cx") != F.col("cy")) & _alike_in_size(F.col("nx"), F.col("ny")))
-    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    sketches = stored(_sketches(texts.join(m.select("id").distinct(), "id", "left_semi")), "line-sketches")
+    m = m.join(sketches, "id")
+    marks = [f"s{k}" for k in range(WORDS)]
+    few = m.where("c <> largest").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = m.withColumn("p", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    x, y = few.select("band", "p", "id", "c", "n", *marks).alias("x"), every.select("band", "p", "id", "c", "n", *marks).alias("y")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.c") != F.col("y.c"))
+    both = x.join(y, same & _alike_in_size(F.col("x.n"), F.col("y.n")) & _may_reach())
+    return both.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -124,16 +159,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.where(F.col("common") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """(id, component) of the lines that have a near copy, of distinct lines (id, line)."""
+def line_components(lines: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the lines that have a near copy, of distinct lines (id, line); for weights see :func:`_candidates`."""
     members = _members(lines)
-    pairs = stored(_candidates(members), "line-candidates")
+    if weights is None:
+        weights = members.limit(0).select("id", F.lit(1).alias("copies"))
+    pairs = stored(_candidates(members, weights), "line-candidates")
     ids = members.select("id").distinct()
     maybe, _ = near_rows(lines, F.col("id"), ids)
     # the lines that share a bucket
     texts = stored(maybe.join(ids, "id", "left_semi").select("id", "line"), "line-texts")
     first = cut(_verified(pairs, texts))
-    rest = stored(_apart(members, cut(components(first))).join(pairs, ["a", "b"], "left_anti"), "line-rest")
+    rest = stored(_apart(members, cut(components(first)), texts).join(pairs, ["a", "b"], "left_anti"), "line-rest")
     return components(first.union(_verified(rest, texts)))
 
 
@@ -170,7 +207,7 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     hit = hit.select("key", "doc_id", F.array_join(_without(F.col("text"), F.col("drop")), "\n").alias("text"))
     distinct = _lines(sure.union(hit)).select(F.xxhash64("line").alias("id"), "line")
 
-    groups = cut(line_components(distinct))
+    groups = cut(line_components(distinct, facts.where("n > 1").select("id", F.col("n").alias("copies"))))
     placed = facts.join(groups, "id").select("id", "first", "component")
     low = placed.groupBy("component").agg(F.min("first").alias("first"))
     fuzzy = placed.select("id", "component").join(low, "component").select("id", "first")
