@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,14 @@ MIN_SHARE = 0.5
 #: in at least so many different contexts, with at least so many bits of pointwise mutual information.
 MIN_CONTEXTS = 4
 MIN_BITS = 6.0
+#: Tokens that may be secrets: so many letters, digits and marks, both letters and digits, with so many bits a character. No value comes
+#: twice, so their kind is the protected entity: a term is a cue of it if, of the texts that hold the term, at least MIN_SHARE hold such a
+#: token in its context, in MIN_CONTEXTS contexts, and if it gives at least this share of the information that a text has such a token.
+SECRET = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+SECRET_BITS = 3.0
+MIN_GAIN = 0.8
+#: The mark of a cue among the terms.
+CUE = "="
 
 
 def luhn(digits: str) -> bool:
@@ -77,31 +86,56 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, st
     for s, e, kind in spans:
         before = TERM.findall(text[max(0, s - 16 * WINDOW) : s])[-WINDOW:]
         after = TERM.findall(text[e : e + 16 * WINDOW])[:WINDOW]
-        entity = f"{KINDS[kind]}:{text[s:e]}"
+        entity = f"{KINDS[kind] if kind < 4 else 'secret'}:{text[s:e]}"
         words = [w.lower() for w in before + after]
         mark = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).hexdigest()
         out += [(entity, w, mark) for w in set(words)]
     return out
 
 
+def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, 5) of the tokens outside the base spans that may be secrets."""
+    out = []
+    for m in SECRET.finditer(text):
+        t = m.group()
+        n = len(t)
+        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(s < m.end() and m.start() < e for s, e, _ in base):
+            if -sum(k / n * math.log2(k / n) for k in Counter(t).values()) >= SECRET_BITS:
+                out.append((m.start(), m.end(), 5))
+    return out
+
+
+def kind_contexts(text: str, found: list[tuple[int, int, int]]) -> list[tuple[str, str, str]]:
+    """("secret", term, context) for the terms around tokens, each term once a text; an empty term stands for the text itself.
+
+    The context is the digest of the token, so a copied one counts once.
+    """
+    once = {}
+    for s, e, k in found:
+        value = hashlib.blake2b(text[s:e].encode("utf-8", "replace"), digest_size=8).hexdigest()
+        once |= {t: value for _, t, _ in contexts(text, [(s, e, k)])}
+    return [("secret", "", "")] + [("secret", t, c) for t, c in once.items()] if found else []
+
+
 def cooccurrences(documents: DataFrame) -> DataFrame:
-    """(entity, term, context), each once: the terms around every entity of all documents."""
+    """(entity, term, context, texts): the terms around every entity of all documents, and how often."""
     ship(documents.sparkSession)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallyforge.llm.pii import base_spans, contexts
+        from tallyforge.llm.pii import base_spans, contexts, kind_contexts, tokens
 
         for b in batches:
             e, t, c = [], [], []
             for text in b.column("text").to_pylist():
-                if text and (spans := base_spans(text)):
-                    for x, y, z in contexts(text, spans):
+                if text:
+                    spans = base_spans(text)
+                    for x, y, z in contexts(text, spans) + kind_contexts(text, tokens(text, spans)):
                         e.append(x)
                         t.append(y)
                         c.append(z)
             yield pa.RecordBatch.from_pydict({"entity": pa.array(e, pa.string()), "term": pa.array(t, pa.string()), "context": pa.array(c, pa.string())})
 
-    return documents.select("text").mapInArrow(lean(around), "entity string, term string, context string").distinct()
+    return documents.select("text").mapInArrow(lean(around), "entity string, term string, context string").groupBy("entity", "term", "context").agg(F.count("*").alias("texts"))
 
 
 #: So many terms may be broadcast; more are matched by a join.
@@ -153,34 +187,43 @@ def revealed(documents: DataFrame) -> DataFrame:
     With N texts, a term in n of them, an entity in m contexts and both together in k of these, the term reveals the entity
     by log2(k * N / (n * m)) bits, and its disclosure is k / n. Equal contexts count once, so a term isn't disclosing just
     because its document was copied. Terms that stand in many contexts of other entities are out before their texts are counted.
+    For the kind of secrets, k and m count texts, as no value comes twice.
     """
     near = stored(cooccurrences(documents), "entity-terms")
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("k")).where(F.col("k") >= MIN_CONTEXTS)
+    joint = near.where("term <> ''").groupBy("entity", "term").agg(F.count("*").alias("k"), F.sum("texts").alias("kt")).where(F.col("k") >= MIN_CONTEXTS)
     around = near.groupBy("term").agg(F.count("*").alias("any"))
     joint = stored(joint.join(around, "term").where(F.col("k") >= MIN_SHARE * F.col("any")), "joint")
-    per_entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("m"))
+    contexts_ = near.where("term <> ''").select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("m"))
+    texts = near.where("term = ''").select("entity", F.col("texts").alias("mt"))
+    per_entity = contexts_.join(texts, "entity", "left")
     df = frequencies(documents, joint.select("term").distinct())
-    n = F.greatest("n", "any")
-    bits = F.log2(F.col("k") * F.lit(float(max(1, documents.count()))) / (n * F.col("m")))
-    out = joint.join(per_entity, "entity").join(df, "term").where((F.col("k") / n >= MIN_SHARE) & (bits >= MIN_BITS))
+    total = F.lit(float(max(1, documents.count())))
+    kind = F.col("mt").isNotNull()
+    n = F.when(kind, F.col("n")).otherwise(F.greatest("n", "any"))
+    together = F.when(kind, F.col("kt")).otherwise(F.col("k"))
+    bits = F.log2(together * total / (n * F.coalesce("mt", "m")))
+    enough = F.when(kind, bits >= MIN_GAIN * F.log2(total / F.col("mt"))).otherwise(bits >= MIN_BITS)
+    out = joint.join(per_entity, "entity").join(df, "term").where((together / n >= MIN_SHARE) & enough & (bits > 0))
     return out.select("term", "entity", bits.alias("bits"))
 
 
 def found(documents: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row (with ``texts``, the sanitised text too).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term and n_secret of every row (with ``texts``, the sanitised text too).
 
     Base spans come from the patterns. A term whose disclosure of a protected entity exceeds the thresholds is a span of kind
-    ``term`` wherever it stands, outside the base spans. In the sanitised text base entities are generalised to their kind and
-    terms are removed. Positions count code points. A null or empty text has no spans; very long texts are read whole;
+    ``term`` wherever it stands, outside the base spans. A token that may be a secret is a span of kind ``secret`` where a cue
+    stands in its context, and so is the cue, as a ``term``. In the sanitised text base entities and secrets are generalised to their
+    kind and terms are removed. Positions count code points. A null or empty text has no spans; very long texts are read whole;
     equal rows give equal rows; other columns are ignored; an empty table gives an empty result.
     """
     spark = documents.sparkSession
     ship(spark)
-    terms = stored(revealed(documents).select("term").distinct(), "disclosing-terms")
-    few = [r.term for r in terms.limit(BROADCAST_TERMS + 1).collect()]
+    mark = F.when(F.col("entity") == "secret", F.concat(F.lit(CUE), F.col("term"))).otherwise(F.col("term"))
+    terms = stored(revealed(documents).select("term", mark.alias("mark")).distinct(), "disclosing-terms")
+    few = [r.mark for r in terms.limit(BROADCAST_TERMS + 1).collect()]
     rows = documents.select("doc_id", "text")
     if len(few) > BROADCAST_TERMS:  # each text gets its own terms by a join
-        own = words_of(documents).join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("own"))
+        own = words_of(documents).join(terms, "term").groupBy("key").agg(F.collect_set("mark").alias("own"))
         rows = rows.withColumn("key", F.xxhash64("text")).join(own, "key", "left").drop("key")
         few = []
     else:
@@ -192,7 +235,7 @@ def found(documents: DataFrame, texts: bool = False) -> DataFrame:
 
         for b in batches:
             counts: list[list[int]] = [[], [], [], []]
-            shas, all_, clean = [], [], []
+            shas, all_, clean, n_term, n_secret = [], [], [], [], []
             for text, own in zip(b.column("text").to_pylist(), b.column("own").to_pylist(), strict=True):
                 base, more = all_spans(text or "", frozenset(own) if own else shared.value)
                 c = Counter(k for _, _, k in base)
@@ -200,31 +243,41 @@ def found(documents: DataFrame, texts: bool = False) -> DataFrame:
                     counts[k].append(c[k])
                 shas.append(hashlib.sha256(digest(base).encode()).hexdigest())
                 all_.append(digest(base + more))
+                extra = Counter(k for _, _, k in more)
+                n_term.append(extra[4])
+                n_secret.append(extra[5])
                 if texts:
                     clean.append(sanitised(text, base + more))
             cols = {"doc_id": b.column("doc_id")} | {f"n_{k}": pa.array(v, pa.int64()) for k, v in zip(KINDS, counts, strict=True)}
-            cols |= {"base_sha256": pa.array(shas, pa.string()), "spans": pa.array(all_, pa.string())}
+            cols |= {"base_sha256": pa.array(shas, pa.string()), "spans": pa.array(all_, pa.string()), "n_term": pa.array(n_term, pa.int64()), "n_secret": pa.array(n_secret, pa.int64())}
             yield pa.RecordBatch.from_pydict(cols | ({"clean": pa.array(clean, pa.string())} if texts else {}))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string" + (", clean string" if texts else "")
+    schema = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_term bigint, n_secret bigint" + (", clean string" if texts else "")
     return rows.mapInArrow(lean(work), schema)
 
 
 def all_spans(text: str, terms: frozenset[str]) -> tuple[list, list]:
-    """The base spans, and the spans of disclosing terms outside them (kind 4)."""
+    """The base spans, and outside them the spans of disclosing terms (kind 4) and of secrets with a cue (kind 5)."""
     base = base_spans(text)
-    more = []
+    more = set()
     if terms:
         if not terms.isdisjoint(words(text)):
             for m in TERM.finditer(text):
                 if m.group().lower() in terms and not any(s < m.end() and m.start() < e for s, e, _ in base):
-                    more.append((m.start(), m.end(), 4))
-    return base, more
+                    more.add((m.start(), m.end(), 4))
+        for s, e, _ in tokens(text, base):
+            lo = max(0, s - 16 * WINDOW)
+            around = list(TERM.finditer(text, lo, s))[-WINDOW:] + list(TERM.finditer(text, e, min(len(text), e + 16 * WINDOW)))[:WINDOW]
+            cues = [m for m in around if CUE + m.group().lower() in terms]
+            if cues:
+                more.add((s, e, 5))
+                more |= {(m.start(), m.end(), 4) for m in cues if not any(a < m.end() and m.start() < z for a, z, _ in base)}
+    return base, sorted(more)
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
-    names = (*KINDS, "term")
+    names = (*KINDS, "term", "secret")
     return ",".join(f"{names[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
 
@@ -236,6 +289,6 @@ def sanitised(text: str | None, spans: list[tuple[int, int, int]]) -> str | None
     for s, e, k in sorted(spans):
         if s < at:
             continue
-        out += [text[at:s], f"<{KINDS[k]}>" if k < 4 else ""]
+        out += [text[at:s], f"<{KINDS[k]}>" if k < 4 else "<secret>" if k == 5 else ""]
         at = e
     return "".join(out) + text[at:]
