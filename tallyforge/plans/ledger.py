@@ -515,3 +515,36 @@ def fallback_fields(m):
     d = lines.select("invoice_id", "k", F.when(ok[0], hit[0]).when(ok[1], hit[1]).alias("no"), F.when(amount > 0, amount).alias("amount"))
     d = d.groupBy("invoice_id").agg(F.min_by("no", F.when(c("no").isNotNull(), c("k"))).alias("no"), F.max_by("amount", F.when(c("amount").isNotNull(), c("k"))).alias("total"))
     return d.select("invoice_id", F.coalesce("no", F.lit("")).alias("no"), F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+#: Suppliers are suspects above this similarity of their names.
+NEAR = 0.85
+
+
+@query(
+    f"SELECT a.supplier_id AS a, b.supplier_id AS b FROM sup a JOIN sup b ON a.company_id = b.company_id AND a.supplier_id < b.supplier_id AND (a.phone = b.phone OR 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) > {NEAR})",
+    "sup AS (SELECT company_id, supplier_id, name || CASE WHEN supplier_id % 7 = 0 THEN ' CO' ELSE '' END AS name, '555-' || (supplier_id // 3) AS phone FROM suppliers_v)",
+)
+def supplier_near_pairs(m):
+    """Suppliers of a tenant with one telephone number or similar names, all of them.
+
+    Names within k edits share all but 2k of their letter pairs, so one of the 2k + 1 rarest of either: only those are joined, then verified.
+    """
+    s = m.suppliers.select("company_id", "supplier_id", F.concat("name", F.when(c("supplier_id") % 7 == 0, " CO").otherwise("")).alias("name"), F.concat(F.lit("555-"), F.floor(c("supplier_id") / 3).cast("string")).alias("phone"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda k: F.substring(c("name"), k, F.lit(2)))
+    g = s.select("company_id", "supplier_id", "name", F.explode(pairs).alias("pair"))
+    # the second "00" of a name is another pair than the first
+    again = Window.partitionBy("company_id", "supplier_id", "pair").orderBy(F.lit(0))
+    g = g.withColumn("pair", F.concat_ws("#", "pair", F.row_number().over(again).cast("string")))
+    often = g.groupBy("company_id", "pair").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("company_id", "supplier_id").orderBy("often", "pair")
+    edits = F.floor((1 - NEAR) / NEAR * F.length("name"))
+    g = g.join(often, ["company_id", "pair"]).withColumn("k", F.row_number().over(rarest)).where(c("k") <= 2 * edits + 1)
+    x = g.select("company_id", "pair", c("supplier_id").alias("a"), c("name").alias("na"))
+    y = g.select("company_id", "pair", c("supplier_id").alias("b"), c("name").alias("nb"))
+    size = [F.length("na"), F.length("nb")]
+    close = F.least(*size) > NEAR * F.greatest(*size)
+    met = x.join(y, ["company_id", "pair"]).where((c("a") < c("b")) & close).select("a", "na", "b", "nb").distinct()
+    near = met.where(1 - F.levenshtein("na", "nb").cast("double") / F.greatest(*size) > NEAR).select("a", "b")
+    p, q = s.select("company_id", "phone", c("supplier_id").alias("a")), s.select("company_id", "phone", c("supplier_id").alias("b"))
+    return near.union(p.join(q, ["company_id", "phone"]).where("a < b").select("a", "b")).distinct()

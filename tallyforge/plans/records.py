@@ -18,10 +18,15 @@ SINCE = "2024-01-15 00:00:00"
 
 
 def shared_folder(spark) -> str:
-    """A new folder below the checkpoint folder, which all machines share; a local one only where none is set."""
+    """A new folder below the checkpoint folder, which all machines share. Where none is set, a local session gets a temporary one and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="tallyforge-")
+        sc.setCheckpointDir(folder)
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
