@@ -213,7 +213,7 @@ def merged_invoice_lines(m):
 def multipage_rows(m):
     """Pages of one number: the first has the sum, the others are kept as merged pages in order."""
     w = Window.partitionBy("company_id", "invoice_no")
-    d = m.entries.select("invoice_id", "status", "total_amount", F.min("invoice_id").over(w).alias("master"), F.count("*").over(w).alias("n"), F.sum("total_amount").over(w).cast("double").alias("amount"), F.row_number().over(w.orderBy("invoice_id")).alias("page"))
+    d = m.entries.select("invoice_id", "status", "total_amount", F.min("invoice_id").over(w).alias("master"), F.count("*").over(w).alias("n"), F.sum("total_amount").over(w).cast("double").alias("amount"), F.row_number().over(w.orderBy("invoice_id")).cast("bigint").alias("page"))
     first = c("invoice_id") == c("master")
     return d.where("n > 1").select("invoice_id", "master", "page", F.when(first, c("status")).otherwise("merged").alias("status"), F.when(first, c("amount")).otherwise(c("total_amount").cast("double")).alias("amount"))
 
@@ -353,7 +353,7 @@ def supplier_product_orders(m):
     d = m.prices.groupBy("supplier_id", "product_id").agg(F.min("price").alias("low"), F.max("price").alias("top"), F.max("invoice_date").alias("recent"), F.count("*").alias("n"), F.sum("quantity").alias("qty"))
     orders = {"low": c("low").asc(), "top": c("top").desc(), "recent": c("recent").desc(), "count": c("n").desc(), "quantity": c("qty").desc()}
     w = Window.partitionBy("supplier_id")
-    return d.select("supplier_id", "product_id", *[F.row_number().over(w.orderBy(o, "product_id")).alias(f"by_{k}") for k, o in orders.items()])
+    return d.select("supplier_id", "product_id", *[F.row_number().over(w.orderBy(o, "product_id")).cast("bigint").alias(f"by_{k}") for k, o in orders.items()])
 
 
 @query(
@@ -364,7 +364,7 @@ def archive_orders(m):
     """The place of each invoice in its month's archive: by name, by date (newest first), by supplier."""
     w = Window.partitionBy("company_id", F.left("batch_id", F.lit(8)))
     orders = {"name": c("invoice_no").asc(), "date": c("invoice_date").desc(), "supplier": c("supplier_name").asc()}
-    return m.base.where("not deleted").select("invoice_id", *[F.row_number().over(w.orderBy(o, "invoice_id")).alias(f"by_{k}") for k, o in orders.items()])
+    return m.base.where("not deleted").select("invoice_id", *[F.row_number().over(w.orderBy(o, "invoice_id")).cast("bigint").alias(f"by_{k}") for k, o in orders.items()])
 
 
 #: Learned names that are looked up per tenant.
@@ -382,7 +382,7 @@ def ranked_learning(m):
     w = Window.partitionBy("company_id")
     confidence = F.least(F.lit(100), 75 + 3 * c("n"))
     ranks = {"alias": w.orderBy(c("n").desc(), c("latest").desc(), "product_name"), "rule": w.orderBy(confidence.desc(), c("n").desc(), "product_name")}
-    parts = [d.withColumn("rn", F.row_number().over(o)).where(c("rn") <= MOST_LEARNED).select("company_id", F.lit(k).alias("kind"), c("product_name").alias("name"), "rn") for k, o in ranks.items()]
+    parts = [d.withColumn("rn", F.row_number().over(o)).where(c("rn") <= MOST_LEARNED).select("company_id", F.lit(k).alias("kind"), c("product_name").alias("name"), c("rn").cast("bigint").alias("rn")) for k, o in ranks.items()]
     return parts[0].union(parts[1])
 
 
