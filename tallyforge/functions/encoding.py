@@ -46,3 +46,41 @@ def _unescape(texts: pd.Series) -> pd.Series:
 def unescaped(x: Column) -> Column:
     """``\\uXXXX`` escapes as characters."""
     return F.when(x.contains("\\u"), _unescape(x)).otherwise(x)
+
+
+def _strange(t: str) -> float:
+    """How little a text looks like what someone wrote: replacement characters, private use and rare ideographs against common ones."""
+    n = 0.0
+    for ch in t:
+        p = ord(ch)
+        if p == 0xFFFD:
+            n += 8
+        elif 0xE000 <= p <= 0xF8FF:
+            n += 10
+        elif 0x3400 <= p <= 0x9FFF:
+            n += 1.0 if p >= 0x9000 else -0.2
+        elif ch.isascii() and ch.isalnum():
+            n -= 0.02
+    return n
+
+
+@F.pandas_udf(StringType())
+def _likeliest(texts: pd.Series) -> pd.Series:
+    def one(t):
+        if t is None:
+            return None
+        found = [t]
+        for codec in ("gb18030", "latin-1"):
+            try:
+                found.append(t.encode(codec).decode("utf-8"))
+            except (UnicodeDecodeError, UnicodeEncodeError):
+                continue
+        return min(found, key=_strange)
+
+    return texts.map(one)
+
+
+def repaired_ideographs(x: Column) -> Column:
+    """UTF-8 that was read as GB18030 or Latin-1, as the likeliest of its readings; texts without such characters stay as they are."""
+    bad = F.coalesce(x.rlike("[\\u3400-\\u9FFF\\uE000-\\uF8FF]") | damaged(x), F.lit(False))
+    return F.when(bad, _likeliest(F.when(bad, x))).otherwise(x)

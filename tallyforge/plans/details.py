@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.encoding import repaired_ideographs
 from tallyforge.plans.ledger import SYNC, queue
 from tallyforge.plans.registry import query
 
@@ -197,3 +198,10 @@ def correction_paths(m):
     )
     d = d.select("invoice_id", F.explode(changes).alias("x")).select("invoice_id", "x.*")
     return d.where(F.coalesce("before", F.lit("")) != F.coalesce("after", F.lit("")))
+
+
+@query("SELECT supplier_id, CASE supplier_id % 4 WHEN 0 THEN '苹果 ' || name WHEN 1 THEN '食品 ' || name WHEN 2 THEN 'é ' || name ELSE name END AS name FROM suppliers_v")
+def encoding_repair_ideographs(m):
+    """Names whose UTF-8 was read as GB18030 or Latin-1 get back what they were; whole names and plain ones stay."""
+    damaged = F.when(c("supplier_id") % 4 == 0, F.concat(F.lit("鑻规灉 "), "name")).when(c("supplier_id") % 4 == 1, F.concat(F.lit("食品 "), "name")).when(c("supplier_id") % 4 == 2, F.concat(F.lit("Ã© "), "name")).otherwise(c("name"))
+    return m.suppliers.select("supplier_id", repaired_ideographs(damaged).alias("name"))
