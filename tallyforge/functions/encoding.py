@@ -49,7 +49,7 @@ def unescaped(x: Column) -> Column:
 
 
 def _strange(t: str) -> float:
-    """How little a text looks like what someone wrote: replacement characters, private use and rare ideographs against common ones."""
+    """How little a text looks like what someone wrote: replacement characters, private use, phonetic letters and rare ideographs against common ones."""
     n = 0.0
     for ch in t:
         p = ord(ch)
@@ -57,6 +57,8 @@ def _strange(t: str) -> float:
             n += 8
         elif 0xE000 <= p <= 0xF8FF:
             n += 10
+        elif 0x0180 <= p <= 0x02FF or 0x0080 <= p <= 0x009F:
+            n += 1
         elif 0x3400 <= p <= 0x9FFF:
             n += 1.0 if p >= 0x9000 else -0.2
         elif ch.isascii() and ch.isalnum():
