@@ -48,9 +48,13 @@ def unescaped(x: Column) -> Column:
     return F.when(x.contains("\\u"), _unescape(x)).otherwise(x)
 
 
+#: A lead byte and a continuation byte as characters.
+_PAIR = re.compile("[\u00C2-\u00EF][\u0080-\u00BF]")
+
+
 def _strange(t: str) -> float:
     """How little a text looks like what someone wrote: replacement characters, private use, phonetic letters and rare ideographs against common ones."""
-    n = 0.0
+    n = 3.0 * len(_PAIR.findall(t))
     for ch in t:
         p = ord(ch)
         if p == 0xFFFD:
