@@ -15,7 +15,7 @@ SHINGLE = 5
 #: Bands and MinHash values of a band. At similarity 0.8 a pair of long lines shares a band with probability 0.998.
 BANDS, ROWS = 20, 6
 #: Lines of a block of a bucket.
-BLOCK = 256
+BLOCK = 1024
 #: Words of 64 bits in a line's bitmap.
 WORDS = 32
 #: Lines link from this similarity on.
