@@ -65,10 +65,10 @@ def near_rows(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, D
     """Rows of ``df`` that may have a partner in ``keys`` (column id), and rows that surely have none.
 
     The test is the remainder of the key, so what is broadcast never has more than REMAINDERS rows; the
-    rows without a partner stay out of the shuffle of a join. Where there are more keys than a quarter of that, the
-    test would tell little: then every row may have a partner, and nothing is broadcast. A null key has no partner.
+    rows without a partner stay out of the shuffle of a join. With as many keys as remainders the test still keeps a third of
+    them out; beyond that it tells little: then every row may have a partner, and nothing is broadcast. A null key has no partner.
     """
-    if keys.limit(REMAINDERS // 4 + 1).count() > REMAINDERS // 4:
+    if keys.count() > REMAINDERS:
         return df, df.where(F.lit(False))
     rest = F.broadcast(keys.select(F.pmod("id", F.lit(REMAINDERS)).alias("_rest")).distinct())
     row = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), F.pmod(key, F.lit(REMAINDERS)).alias("_rest"))
