@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import ann, exact_topk, language_id, line_dedup, mixing, ngram_join, pii, sentencepiece_bpe, suffix_dedup, toxicity
+from tallyforge.llm import ann, chat, exact_topk, language_id, line_dedup, mixing, ngram_join, pii, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,31 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: The result of op12 from the input rows: RE2 has no lookahead, but neither has the pattern.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS added FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', true
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', true
+), m AS (
+  SELECT *, regexp_replace(text, '([<\[])(\\*(?:<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|ROLE\]|TEXT\]|/ROLE\]))', '\1\\\2', 'g') AS marked,
+    regexp_replace(role, '([<\[])(\\*(?:<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|ROLE\]|TEXT\]|/ROLE\]))', '\1\\\2', 'g') AS role_marked,
+    CASE row_number() OVER w WHEN 1 THEN 'start' ELSE lag(role) OVER w END AS state, row_number() OVER w AS n, row_number() OVER (PARTITION BY conv_id, added ORDER BY turn DESC NULLS FIRST, role DESC, text DESC) AS n_back
+  FROM t WINDOW w AS (PARTITION BY conv_id, added ORDER BY turn NULLS LAST, role, text)
+), c AS (
+  SELECT *, (state, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS ok,
+    CASE role WHEN 'system' THEN '<<SYS>>' || marked || '<</SYS>>' WHEN 'user' THEN '[INST]' || marked || '[/INST]' WHEN 'assistant' THEN '<s>' || marked || '</s>'
+      ELSE '[ROLE]' || role_marked || '[TEXT]' || marked || '[/ROLE]' END AS shown
+  FROM m
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(shown)) AS BIGINT) AS formatted_chars, bool_and(ok) AS valid, bool_or(n_back = 1 AND role = 'assistant') AS complete,
+  CAST(min(n - 1) FILTER (NOT ok) AS BIGINT) AS first_error
+FROM c GROUP BY conv_id, added
+"""
+
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -72,9 +97,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op9_pii, op10_ann)}
+    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op9_pii, op10_ann, op12_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_topk": OP8_SQL}
+    return {"op8_exact_topk": OP8_SQL, "op12_chat": OP12_SQL}
