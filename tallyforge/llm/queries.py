@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, chat, exact_topk, language_id, line_dedup, mixing, ngram_join, pii, sentencepiece_bpe, suffix_dedup, toxicity
+from tallyforge.llm import ann, chat, exact_topk, language_id, line_dedup, mixing, ngram_join, pii, sentencepiece_bpe, suffix_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,8 +102,13 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(_table(spark, sf_dir, "conversations"))
 
 
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a deviation beyond 64 bits can't be given as long
+    return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op9_pii, op10_ann, op12_chat)}
+    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op9_pii, op10_ann, op12_chat, op13_whiten)}
 
 
 def oracle_sql() -> dict[str, str]:
