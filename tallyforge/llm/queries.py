@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, chat, exact_topk, language_id, line_dedup, mixing, ngram_join, pii, sentencepiece_bpe, suffix_dedup, toxicity, whitening
+from tallyforge.llm import ann, chat, exact_topk, language_id, line_dedup, mixing, ngram_join, pii, resampling, sentencepiece_bpe, suffix_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(_table(spark, sf_dir, "conversations"))
 
@@ -108,7 +112,7 @@ def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op9_pii, op10_ann, op12_chat, op13_whiten)}
+    return {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_sentencepiece, op4_ngram_join, op5_language_id, op6_toxicity, op7_line_dedup, op8_exact_topk, op9_pii, op10_ann, op11_resample, op12_chat, op13_whiten)}
 
 
 def oracle_sql() -> dict[str, str]:
