@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.encoding import repaired_ideographs
+from tallyforge.functions.encoding import learned_likelihood, repaired_ideographs, repaired_text, suspicious
 from tallyforge.plans.ledger import SYNC, queue
 from tallyforge.plans.registry import query
 
@@ -205,3 +205,26 @@ def encoding_repair_ideographs(m):
     """Names whose UTF-8 was read as GB18030 or Latin-1 get back what they were; whole names and plain ones stay."""
     damaged = F.when(c("supplier_id") % 4 == 0, F.concat(F.lit("鑻规灉 "), "name")).when(c("supplier_id") % 4 == 1, F.concat(F.lit("食品 "), "name")).when(c("supplier_id") % 4 == 2, F.concat(F.lit("Ã© "), "name")).otherwise(c("name"))
     return m.suppliers.select("supplier_id", repaired_ideographs(damaged).alias("name"))
+
+
+#: Phrases of the application that are stored in damaged forms too.
+PHRASES = ("处理中...", "继续识别", "暂停识别", "取消剩余识别", "收起", "展开", "测试公司", "登录已失效，请重新登录。", "正在后台验证登录状态，不影响本地数据查看。", "当前离线，已进入离线模式。", "服务器启动中，请稍后重试。", "需要人工确认分摊组")
+
+
+@query(
+    """SELECT supplier_id, name, damaged FROM (SELECT supplier_id, supplier_id % 6 < 5 AS damaged, name || CASE supplier_id % 6 WHEN 0 THEN ' 处理中... ' WHEN 1 THEN ' 苹果' WHEN 2 THEN ' ü' WHEN 3 THEN ' 公司' WHEN 4 THEN ' 登录已失效，请重新登录。' ELSE ' 香蕉 鲈鱼' END AS name FROM suppliers_v)"""
+)
+def encoding_repair_all(m):
+    """Names damaged in five ways (phrases that lost a byte, GB18030, Latin-1, escapes in escapes) come back and are flagged; whole ones stay.
+
+    The likelihood is learned from the names that aren't damaged.
+    """
+    tails = ["澶勭悊涓?.. ", "鑻规灉", "Ã¼", "\\u005cu516c\\u53f8", "鐧诲綍宸插け鏁堬紝璇烽噸鏂扮櫥褰曘\u20ac?"]
+    shown = F.lit("香蕉 鲈鱼")
+    for k, tail in enumerate(tails):
+        shown = F.when(c("supplier_id") % 6 == k, F.lit(tail)).otherwise(shown)
+    s = m.suppliers.select("supplier_id", F.concat_ws(" ", "name", shown).alias("shown"))
+    model = learned_likelihood(s.where(~suspicious(c("shown")) & ~c("shown").contains("\\u")), "shown")
+    return s.select("supplier_id", repaired_text(c("shown"), model, PHRASES).alias("name"), "shown").select("supplier_id", "name", (c("name") != c("shown")).alias("damaged"))
+
+
