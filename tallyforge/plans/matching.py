@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import dedup
-from tallyforge.operators.keys import first_in_order, key_map, resolve
+from tallyforge.operators.keys import key_map, resolve
 from tallyforge.plans.registry import query
 
 c = F.col
@@ -91,26 +91,6 @@ def resolve_refs(m):
     return resolve(refs, "supplier", key_map(s, ["supplier_id", "server_id", "local_id"], "supplier_id", ["company_id"]), "supplier_id", ["company_id"]).select("invoice_id", "supplier")
 
 
-SIMILAR = "sup AS (SELECT company_id, supplier_id, name || CASE WHEN supplier_id % 7 = 0 THEN ' CO' ELSE '' END AS name, left(name, 15) AS block FROM suppliers_v)"
-
-
-@query("SELECT a.supplier_id AS a, b.supplier_id AS b FROM sup a JOIN sup b ON a.company_id = b.company_id AND a.block = b.block AND a.supplier_id < b.supplier_id AND 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) > 0.85", SIMILAR)
-def supplier_suspects(m):
-    """Suppliers of a tenant with similar names. Names meet in a block (their first 15 characters); others aren't compared."""
-    s = m.suppliers.selectExpr("company_id", "supplier_id", "concat(name, case when supplier_id % 7 = 0 then ' CO' else '' end) as name", "left(name, 15) as block")
-    a, b = s.select("company_id", "block", c("supplier_id").alias("a"), c("name").alias("x")), s.select("company_id", "block", c("supplier_id").alias("b"), c("name").alias("y"))
-    return a.join(b, ["company_id", "block"]).where((c("a") < c("b")) & (T.similarity(c("x"), c("y")) > 0.85)).select("a", "b")
-
-
-@query("""SELECT invoice_id, entry, CASE WHEN canon IS NULL THEN 'new' ELSE 'known' END AS how FROM (SELECT b.invoice_id, CASE WHEN b.invoice_id % 10 = 0 THEN 'Nobody ' || b.invoice_id ELSE upper(b.supplier_name) END AS entry,
-  CASE WHEN b.invoice_id % 10 = 0 THEN NULL ELSE s.supplier_id END AS canon FROM base b LEFT JOIN suppliers_v s ON s.company_id = b.company_id AND s.name = b.supplier_name)""")
-def supplier_resolve(m):
-    """A name finds its supplier by its key; a name without one is a new supplier."""
-    e = m.base.selectExpr("company_id", "invoice_id", "case when invoice_id % 10 = 0 then concat('Nobody ', invoice_id) else upper(supplier_name) end as entry").withColumn("key", T.supplier_key(c("entry")))
-    s = m.suppliers.withColumn("key", T.supplier_key(c("name"))).groupBy("company_id", "key").agg(F.min("supplier_id").alias("known"))
-    return e.join(s, ["company_id", "key"], "left").select("invoice_id", "entry", F.when(c("known").isNull(), "new").otherwise("known").alias("how"))
-
-
 @query("SELECT lower(trim(raw_name)) AS key, min(product_id) AS first_product, COUNT(*) AS n FROM items WHERE product_id % 2 = 1 AND lower(trim(raw_name)) NOT IN (SELECT lower(trim(raw_name)) FROM items WHERE product_id % 2 = 0) GROUP BY 1")
 def product_dim(m):
     """Names that the product dimension doesn't have yet become products."""
@@ -159,14 +139,3 @@ def multipage_merge(m):
     """Pages of one number summed on the first; a page of low confidence asks for review."""
     d = m.entries.groupBy("company_id", "invoice_no").agg(F.count("*").alias("pages"), F.sum("total_amount").cast("double").alias("amount"), F.min("invoice_id").alias("master"), F.bool_or(c("invoice_id") % 7 == 0).alias("review"))
     return d.where("pages > 1").drop("company_id")
-
-
-@query("""SELECT key, product_id, score FROM (SELECT a.key, p.product_id, CASE WHEN a.key = p.key THEN 1.0 WHEN contains(a.key, p.key) OR contains(p.key, a.key) THEN 0.92 ELSE 0.5 END::DOUBLE AS score, row_number() OVER (PARTITION BY a.key ORDER BY CASE WHEN a.key = p.key THEN 1.0 ELSE 0.92 END DESC, p.product_id) AS rn
-  FROM (SELECT DISTINCT lower(p_name) AS key FROM part) a JOIN (SELECT lower(p_name) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' box' END AS key, p_partkey AS product_id FROM part) p ON split_part(a.key, ' ', 1) = split_part(p.key, ' ', 1) AND (a.key = p.key OR contains(p.key, a.key))) WHERE rn = 1""")
-def alias_match(m):
-    """The best learned name of each item name: equal, or containing it. Names meet by their first word."""
-    p = m.table("part")
-    a = p.select(F.lower("p_name").alias("key")).distinct().withColumn("w", F.element_at(F.split("key", " "), 1))
-    k = p.select(F.concat(F.lower("p_name"), F.when(c("p_partkey") % 2 == 0, "").otherwise(" box")).alias("other"), c("p_partkey").alias("product_id")).withColumn("w", F.element_at(F.split("other", " "), 1))
-    d = a.join(k, "w").withColumn("score", T.token_similarity(c("key"), c("other"))).where("score >= 0.78")
-    return first_in_order(d, ["key"], c("score").desc(), c("product_id")).select("key", "product_id", "score")

@@ -13,14 +13,14 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, more: str = ""):
-    """Register under the function's name. ``sql`` follows the model's views, ``more`` adds views of its own."""
+def query(sql: str | None = None, more: str = "", recursive: bool = False):
+    """Register under the function's name. ``sql`` follows the model's views, ``more`` adds views of its own, which may be recursive."""
 
     def register(f: Callable[[Model], DataFrame]):
         name = f.__name__
         QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
         if sql is not None:
-            SQL[name] = MODEL_SQL + (", " + more if more else "") + sql
+            SQL[name] = (MODEL_SQL.replace("WITH", "WITH RECURSIVE", 1) if recursive else MODEL_SQL) + (", " + more if more else "") + sql
         return f
 
     return register
