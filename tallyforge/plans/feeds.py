@@ -21,32 +21,15 @@ def feed_stream(m):
 def stream_lww(m):
     """The feed merged batch by batch: the state after the last one equals the latest change of each key."""
     folder = shared_folder(m.spark)
-    table = S.VersionedTable(m.spark, folder + "/state")
+    table = S.LayeredTable(m.spark, folder + "/state")
     S.run(feed_stream(m), S.last_write_wins(table), folder + "/checkpoint")
     return table.read().select("id", "change_id", "value", "deleted")
 
 
-@query("SELECT id, change_id, CAST(rn_max AS BIGINT) AS version, value < 0 AS money_conflict FROM (SELECT *, COUNT(*) OVER (PARTITION BY id) * 0 + 1 AS rn_max FROM (" + LATEST + "))")
-def stream_lww_rules(m):
-    """As above with the store's rule: a version per row, and a conflict where only the money is wrong."""
-    folder = shared_folder(m.spark)
-    table = S.VersionedTable(m.spark, folder + "/state")
-    S.run(feed_stream(m), S.last_write_wins(table, lambda d: d.withColumn("money_conflict", c("value") < 0)), folder + "/checkpoint")
-    return table.read().select("id", "change_id", F.lit(1).cast("bigint").alias("version"), "money_conflict")
-
-
 #: The parts in which the changes arrive, one batch each.
 ARRIVALS = 4
 
 
-def arriving(m, folder: str) -> str:
-    """The feed as files that arrive one after the other, each with a part of the changes; returns their folder."""
-    for k in range(ARRIVALS):
-        part = m.feed.where(c("change_id") % ARRIVALS == k).select("id", "change_id", "updated_at", (c("change_id") % ARRIVALS * 10**12 + c("change_id")).alias("arrival"))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder
-
-
 @query(
     f"""SELECT id, COUNT(*) FILTER (ok) AS version, COUNT(*) FILTER (NOT ok) AS conflicts, arg_max(change_id, arrival) FILTER (ok) AS change_id
   FROM (SELECT *, coalesce(updated_at >= max(updated_at) OVER (PARTITION BY id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok
@@ -55,9 +38,11 @@ def arriving(m, folder: str) -> str:
 def stream_push_versions(m):
     """Changes pushed in several batches: the version of each row, its refused changes, and the change that stands."""
     folder = shared_folder(m.spark)
-    path = arriving(m, folder + "/in")
-    table = S.VersionedTable(m.spark, folder + "/state")
-    S.run(S.read_stream(m.spark, path, m.spark.read.parquet(path).schema), S.push_versions(table), folder + "/checkpoint")
+    table = S.LayeredTable(m.spark, folder + "/state")
+    changes = m.feed.select("id", "change_id", "updated_at", (c("change_id") % ARRIVALS * 10**12 + c("change_id")).alias("arrival"))
+    for k in range(ARRIVALS):  # each part comes after the last run has ended; a run takes all that is new as one batch
+        changes.where(c("change_id") % ARRIVALS == k).write.mode("append").parquet(folder + "/in")
+        S.run(S.read_stream(m.spark, folder + "/in", changes.schema, 1 << 20), S.push_versions(table), folder + "/checkpoint")
     return table.read().select("id", "version", "conflicts", "change_id")
 
 
@@ -114,12 +99,29 @@ def price_stream(m):
     return item_stream(m).where("paid").join(ok, "invoice_id")
 
 
+#: Rows arrive up to so many days after their date, in parts of a year, and a part may be split over batches; nothing is later than the delay.
+JITTER, DELAY = 60, "800 days"
+
+
 @query("SELECT item_id, price, prior FROM (" + ANOMALIES + ")")
 def stream_price_anomaly(m):
-    """The running mean per supplier and product in state; on one ordered batch it equals the window query."""
+    """Prices that arrive out of order, over several micro-batches, give the anomalies of their order in time: rows wait for the watermark.
+
+    The last part is a heartbeat, a row of no key and a far date, which lets the watermark pass all others.
+    """
     folder = shared_folder(m.spark)
-    d = price_stream(m).groupBy("company_id", "supplier_id", "product_id").applyInPandasWithState(S.running_prices, "item_id string, price double, prior double", "n long, total long", "append", "NoTimeout")
-    S.run(d, lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/b={n}"), folder + "/checkpoint")
+    place = F.format_string("%020d-%010d-%s", "invoice_id", c("line_no").cast("int"), "item_id")
+    rows = m.prices.select("company_id", "supplier_id", "product_id", "item_id", c("invoice_date").cast("timestamp").alias("at"), place.alias("place"), "price")
+    year = F.year(F.date_add(c("at").cast("date"), F.pmod(F.xxhash64("item_id"), F.lit(JITTER)).cast("int")))
+    rows.withColumn("year", year).write.partitionBy("year").parquet(folder + "/rows")
+    stored = m.spark.read.parquet(folder + "/rows")
+    years = [r.year for r in stored.select("year").distinct().orderBy("year").collect()]  # some ten
+    end = rows.limit(1).select(*[F.lit(None).cast(t).alias(k) if k != "at" else F.timestamp_seconds(F.lit(7_258_118_400)).alias(k) for k, t in rows.dtypes])
+    schema = rows.schema
+    for part in [*[stored.where(c("year") == y).drop("year") for y in years], end]:
+        part.write.mode("append").parquet(folder + "/in")
+        d = S.price_anomalies(S.read_stream(m.spark, folder + "/in", schema, 64), ["company_id", "supplier_id", "product_id"], DELAY)
+        S.run(d, lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/b={n}"), folder + "/checkpoint")
     return m.spark.read.parquet(folder + "/out").select("item_id", "price", "prior")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import textjoin as J
-from tallyforge.operators.components import components, ends
+from tallyforge.operators.components import components, cut, ends
 from tallyforge.operators.keys import first_in_order
 from tallyforge.plans.ledger import ranked_learning
 from tallyforge.plans.registry import query
@@ -74,7 +74,7 @@ def star_links(s: DataFrame) -> DataFrame:
 )
 def supplier_groups(m):
     """Groups of suppliers linked by an equal key, telephone number, e-mail or address or by alike keys, over any number of steps."""
-    s = parties(m)
+    s = cut(parties(m))
     d = s.select("supplier_id").join(components(star_links(s)), c("supplier_id") == c("id"), "left").select("supplier_id", F.coalesce("component", "supplier_id").alias("group_id"))
     return d.join(d.groupBy("group_id").agg(F.count("*").alias("size")), "group_id").select("supplier_id", "group_id", "size")
 
@@ -95,7 +95,7 @@ def first_partner(s: DataFrame) -> DataFrame:
 @query("SELECT a AS supplier_id, min(b) AS partner FROM links GROUP BY 1", PARTIES)
 def supplier_suspects(m):
     """The first other supplier of the tenant that may be the same, for each that has one."""
-    return first_partner(parties(m))
+    return first_partner(cut(parties(m)))
 
 
 BULK = PARTIES + """, bulk AS (SELECT *, min(supplier_id) OVER (PARTITION BY company_id, key) AS target FROM parties),
@@ -113,7 +113,7 @@ def merged_into(s: DataFrame) -> DataFrame:
 )
 def supplier_bulk_merge(m):
     """The bulk merge by key; then each survivor is marked with the first other survivor that may be the same."""
-    s = merged_into(parties(m))
+    s = cut(merged_into(parties(m)))
     suspects = first_partner(s.where("supplier_id = target")).select(c("supplier_id").alias("of"), "partner")
     d = s.join(suspects, c("supplier_id") == c("of"), "left")
     return d.select("supplier_id", c("target").alias("merged_into"), F.when(c("supplier_id") != c("target"), c("target")).otherwise(c("partner")).alias("suspected_duplicate_of"))
@@ -253,7 +253,8 @@ def learned_matches(names: DataFrame, learned: DataFrame) -> DataFrame:
     equal scores the earlier learned name counts, aliases before rules.
     """
     key = T.product_name(c("name"))
-    x, y = names.select("company_id", "name", key.alias("x")).where("x <> ''"), learned.select("company_id", c("name").alias("best"), "kind", "rn", key.alias("y")).where("y <> ''")
+    x = cut(names.select("company_id", "name", key.alias("x")).where("x <> ''"))  # both are read by each of the three joins
+    y = cut(learned.select("company_id", c("name").alias("best"), "kind", "rn", key.alias("y")).where("y <> ''"))
     scope = ["company_id"]
     inner = J.containing(y, "y", x, "x", scope).select(*scope, c("text").alias("x"), c("needle").alias("y"))
     outer = J.containing(x, "x", y, "y", scope).select(*scope, c("needle").alias("x"), c("text").alias("y"))
@@ -287,7 +288,7 @@ def alias_match(m):
         F.when(k == 0, F.upper(raw)).when(k == 1, F.concat(raw, F.lit("  large pack"))).when(k == 2, F.substr(raw, F.lit(7))).when(k == 3, F.concat_ws(" ", F.substr(raw, F.length("brand") + 2), "brand"))
         .when(k == 4, F.concat(F.lit("nothing "), (c("product_id") % 50).cast("string"))).otherwise(F.concat_ws(" ", raw, "brand", F.lit("extra")))
     )
-    named = i.select("company_id", name.alias("name"), F.when(c("product_id") % 5 == 0, F.lit(0.9)).alias("given")).distinct()
+    named = cut(i.select("company_id", name.alias("name"), F.when(c("product_id") % 5 == 0, F.lit(0.9)).alias("given")).distinct())
     d = named.join(learned_matches(named.select("company_id", "name").distinct(), ranked_learning(m)), ["company_id", "name"], "left")
     sure = F.greatest(F.coalesce("given", F.lit(0.0)), F.least(F.lit(SUREST), c("score")))
     return d.select("company_id", "name", "given", "best", "kind", "score", F.when(c("score").isNull(), F.coalesce("given", F.lit(UNMATCHED))).otherwise(sure).alias("confidence"))

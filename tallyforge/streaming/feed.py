@@ -50,7 +50,8 @@ class VersionedTable:
         done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return sorted(int(n[1:]) for n in done)
 
-    def read(self, before: int | None = None) -> DataFrame | None:
+    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame | None:
+        """The whole table as of before a batch; which keys the batch has makes no difference here."""
         found = [v for v in self.versions() if before is None or v < before]
         return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
@@ -61,20 +62,88 @@ class VersionedTable:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}"), True)
 
 
-def last_write_wins(table: VersionedTable, rules: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+class LayeredTable:
+    """A table in layers: each batch writes only the rows it changes, and the latest layer of a key counts.
+
+    Neighbouring layers are merged when the older is at most twice as large, so there are few of them and a row is rewritten as often as
+    the logarithm of the number of batches. Only layers older than the batch are merged, so a batch that is repeated finds what
+    it found before; merged layers go one batch later, when no reader needs them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id"):
+        self.spark, self.path, self.key = spark, path, key
+
+    def _folder(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _complete(self) -> list[tuple[int, int]]:
+        path, fs = self._folder()
+        if not fs.exists(path):
+            return []
+        spans = []
+        for f in fs.listStatus(path):
+            first, _, last = f.getPath().getName()[1:].partition("-")
+            if first.isdigit() and last.isdigit() and fs.exists(self._folder(f"{f.getPath().getName()}/_SUCCESS")[0]):
+                spans.append((int(first), int(last)))
+        return sorted(spans)
+
+    def layers(self, before: int | None = None) -> list[tuple[int, int]]:
+        """(first batch, last batch) of the layers that count, oldest first."""
+        spans = [s for s in self._complete() if before is None or s[1] < before]
+        return [s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)]
+
+    def _size(self, span: tuple[int, int]) -> int:
+        path, fs = self._folder("l%d-%d" % span)
+        return fs.getContentSummary(path).getLength()
+
+    def _latest(self, spans: list[tuple[int, int]], keys: DataFrame | None = None) -> DataFrame:
+        rows = None
+        for span in spans:
+            d = self.spark.read.parquet(f"{self.path}/l{span[0]}-{span[1]}").withColumn("_layer", F.lit(span[1]))
+            if keys is not None:
+                d = d.join(keys.select(self.key).distinct(), self.key, "left_semi")
+            rows = d if rows is None else rows.unionByName(d)
+        columns = [k for k in rows.columns if k != "_layer"]
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*columns), "_layer").alias("_r")).select("_r.*")
+
+    def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame | None:
+        """The latest row of each key, of those in ``keys`` if given, as of before a batch."""
+        spans = self.layers(before)
+        return self._latest(spans, keys) if spans else None
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        """Add the rows that a batch changed."""
+        path, fs = self._folder()
+        counting = self.layers(batch)
+        for span in self._complete():
+            if span[1] < batch and span not in counting:
+                fs.delete(self._folder("l%d-%d" % span)[0], True)
+        merged = counting[-1:]
+        size = self._size(merged[0]) if merged else 0
+        for span in reversed(counting[:-1]):
+            if self._size(span) > 2 * size:
+                break
+            merged, size = [span, *merged], size + self._size(span)
+        if len(merged) > 1:
+            self._latest(merged).write.mode("overwrite").parquet(f"{self.path}/l{merged[0][0]}-{merged[-1][1]}")
+        df.write.mode("overwrite").parquet(f"{self.path}/l{batch}-{batch}")
+
+
+def last_write_wins(table: VersionedTable | LayeredTable, rules: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A batch function that merges the latest change of each key into the table."""
     order = [c("updated_at").desc(), c("change_id").desc()]
 
     def work(batch: DataFrame, n: int) -> None:
         new = latest_per_key(batch, ["id"], order)
-        stored = table.read(before=n)
+        stored = table.read(before=n, keys=new)
         out = new.withColumn("conflict", F.lit(False)) if stored is None else accept(stored.drop("conflict"), new)
         table.write(rules(out) if rules else out, n)
 
     return work
 
 
-def push_versions(table: VersionedTable) -> Callable[[DataFrame, int], None]:
+def push_versions(table: VersionedTable | LayeredTable) -> Callable[[DataFrame, int], None]:
     """A batch function for pushed changes (id, arrival, change_id, updated_at).
 
     A change that is older than what is stored is a conflict and changes nothing; any other replaces the row and raises its
@@ -83,7 +152,7 @@ def push_versions(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     columns = ("id", "change_id", "updated_at", "version", "conflicts")
 
     def work(batch: DataFrame, n: int) -> None:
-        stored = table.read(before=n)
+        stored = table.read(before=n, keys=batch)
         if stored is None:
             stored = batch.limit(0).selectExpr("id", "change_id", "updated_at", "cast(0 as bigint) as version", "cast(0 as bigint) as conflicts")
         stored = stored.select(c("id"), *[c(k).alias(f"old_{k}") for k in columns[1:]])
@@ -100,18 +169,42 @@ def push_versions(table: VersionedTable) -> Callable[[DataFrame, int], None]:
     return work
 
 
-def running_prices(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Each price against the mean of those before it; the state is their number and sum in ten-thousandths."""
-    n, total = state.get if state.exists else (0, 0)
-    for pdf in batches:
-        pdf = pdf.sort_values(["invoice_date", "invoice_id", "line_no", "item_id"])
-        out = []
-        for item, price in zip(pdf["item_id"], pdf["price"], strict=True):
-            if n:
-                prior = total / n / 10000
-                if prior > 0 and abs(price - prior) / prior > 0.30:
-                    out.append((item, price, prior))
-            n += 1
-            total += int(price * 10000 // 1)
-        yield pd.DataFrame(out, columns=["item_id", "price", "prior"]).astype({"price": "float64", "prior": "float64"})
-    state.update((n, total))
+#: State of a key whose prices are held back, and what comes out.
+HELD = "n long, total long, items array<string>, places array<string>, times array<long>, prices array<double>"
+ANOMALY_ROWS = "item_id string, price double, prior double"
+#: The share of the earlier mean by which a price is an anomaly.
+ANOMALY = 0.30
+
+
+def held_prices(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Each price against the mean of those before it, in the order of event time, however the rows arrive.
+
+    Rows (item_id, place, at, price) wait in the state until the watermark has passed their time; then all earlier ones are there, and they count in
+    the order of time and place. A timer at the first waiting time wakes keys that get no more rows.
+    """
+    n, total, items, places, times, prices = state.get if state.exists else (0, 0, [], [], [], [])
+    waiting = list(zip(times, places, items, prices, strict=True))
+    if not state.hasTimedOut:
+        for pdf in batches:
+            waiting += zip(pdf["at"].astype("datetime64[ms]").astype("int64").tolist(), pdf["place"].tolist(), pdf["item_id"].tolist(), pdf["price"].tolist(), strict=True)
+    waiting.sort()
+    watermark, out, k = state.getCurrentWatermarkMs(), [], 0
+    for at, _, item, price in waiting:
+        if at > watermark:
+            break
+        k += 1
+        prior = total / n / 10000 if n else 0.0
+        if prior > 0 and abs(price - prior) / prior > ANOMALY:
+            out.append((item, price, prior))
+        n, total = n + 1, total + int(price * 10000 // 1)
+    waiting = waiting[k:]
+    state.update((n, total, *([list(x) for x in (zip(*[(w[2], w[1], w[0], w[3]) for w in waiting], strict=True))] or [[], [], [], []])))
+    if waiting:
+        state.setTimeoutTimestamp(max(waiting[0][0], watermark + 1))
+    yield pd.DataFrame(out, columns=["item_id", "price", "prior"]).astype({"item_id": "object", "price": "float64", "prior": "float64"})
+
+
+def price_anomalies(rows: DataFrame, keys: list[str], delay: str) -> DataFrame:
+    """Anomalies of a stream of prices (keys, item_id, at, place, price) that are at most ``delay`` late."""
+    keyed = rows.withWatermark("at", delay).groupBy(*keys)
+    return keyed.applyInPandasWithState(held_prices, ANOMALY_ROWS, HELD, "append", "EventTimeTimeout")

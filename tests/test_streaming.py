@@ -40,3 +40,51 @@ def test_an_incomplete_version_is_not_read(spark, tmp_path):
     table.write(spark.range(3), 0)
     (tmp_path / "v1").mkdir()
     assert table.read().count() == 3
+
+
+def test_layers_hold_what_batches_change(spark, tmp_path):
+    """The rows that a batch writes are in the order of those it changes, few layers stay, and a repeated batch changes nothing."""
+    m = Model(spark, SF)
+    expected = sorted(map(tuple, feeds.stream_push_versions(m).collect()))
+    rows = m.feed.select("id", "change_id", "updated_at", (F.col("change_id") % 4 * 10**12 + F.col("change_id")).alias("arrival")).cache()
+    table = S.LayeredTable(spark, str(tmp_path))
+    work = S.push_versions(table)
+    bounds = [(p, lo) for p in range(4) for lo in range(0, 1000, 250)]  # in the order of arrival
+    ids = rows.agg(F.max("change_id")).first()[0] + 1
+    for n, (p, lo) in enumerate(bounds):
+        batch = rows.where((F.col("change_id") % 4 == p) & (F.col("change_id") >= ids * lo // 1000) & (F.col("change_id") < ids * (lo + 250) // 1000))
+        work(batch, n)
+        if n % 5 == 0:
+            S.push_versions(S.LayeredTable(spark, str(tmp_path)))(batch, n)
+        assert spark.read.parquet(f"{tmp_path}/l{n}-{n}").count() == batch.select("id").distinct().count()
+        assert len(table.layers()) <= 7
+    assert sorted(map(tuple, table.read().select("id", "version", "conflicts", "change_id").collect())) == expected
+    few = rows.where("id < 5").select("id").distinct()
+    assert table.read(keys=few).count() == few.count()
+
+
+def test_an_incomplete_layer_is_not_read(spark, tmp_path):
+    table = S.LayeredTable(spark, str(tmp_path))
+    assert table.read() is None and table.layers() == []
+    table.write(spark.range(3), 0)
+    (tmp_path / "l1-1").mkdir()
+    table.write(spark.range(2, 4), 2)
+    assert table.read().count() == 4 and table.read(before=2).count() == 3
+
+
+def test_prices_in_any_order_over_batches_equal_the_batch_query(spark, tmp_path):
+    """Wholly shuffled rows, a delay as long as their time."""
+    m = Model(spark, SF)
+    from tallyforge.plans.prices import price_anomalies
+
+    expected = sorted((r.item_id, round(r.price, 9), round(r.prior, 9)) for r in price_anomalies(m).select("item_id", "price", "prior").collect())
+    place = F.format_string("%020d-%010d-%s", "invoice_id", F.col("line_no").cast("int"), "item_id")
+    rows = m.prices.select("company_id", "supplier_id", "product_id", "item_id", F.col("invoice_date").cast("timestamp").alias("at"), place.alias("place"), "price")
+    parts = [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(5)) == k) for k in range(5)]
+    parts.append(rows.limit(1).select(*[F.lit(None).cast(t).alias(k) if k != "at" else F.timestamp_seconds(F.lit(7_258_118_400)).alias(k) for k, t in rows.dtypes]))
+    for part in parts:
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        d = S.price_anomalies(S.read_stream(spark, f"{tmp_path}/in", rows.schema, 2), ["company_id", "supplier_id", "product_id"], "5000 days")
+        S.run(d, lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/b={n}"), f"{tmp_path}/checkpoint")
+    got = sorted((r.item_id, round(r.price, 9), round(r.prior, 9)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == expected and expected
