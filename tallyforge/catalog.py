@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import details, feeds, ledger, matching, parsing, prices, records, registry, reports, suppliers, texts, upkeep  # noqa: F401
+from tallyforge.plans import details, feeds, ledger, matching, parsing, prices, records, registry, reports, suppliers, templates, texts, upkeep  # noqa: F401
 
 
 def queries() -> dict:
