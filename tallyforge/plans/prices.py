@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators import costing
+from tallyforge.operators.state import differences
+from tallyforge.plans.records import shared_folder
 from tallyforge.plans.registry import query
 
 c = F.col
@@ -142,3 +144,28 @@ def price_history_generate(m):
 
 def generated_prices(items):
     return items.where("quantity > 0 and unit_price > 0").select("item_id", c("unit_price").alias("price"), F.concat(F.lit("price-"), "item_id").alias("price_id"))
+
+
+STORED = """eligible AS (SELECT i.item_id, i.unit_price, i.quantity FROM items i JOIN base b ON b.invoice_id = i.invoice_id WHERE b.status = 'APPROVED' AND NOT b.deleted AND NOT i.is_free AND NOT i.candidate_only AND i.quantity > 0 AND i.unit_price > 0),
+fresh AS (SELECT DISTINCT ON (item_id) 'price-' || item_id AS price_id, unit_price AS price, quantity FROM eligible ORDER BY item_id, unit_price, quantity),
+old AS (SELECT DISTINCT ON (item_id) i.item_id, 'price-' || i.item_id AS price_id, CASE WHEN i.line_no % 4 = 0 THEN i.unit_price * 2 ELSE i.unit_price END AS price, i.quantity + CASE WHEN i.line_no % 7 = 3 THEN 1 ELSE 0 END AS quantity FROM items i WHERE i.line_no % 5 <> 0 AND NOT i.is_free ORDER BY i.item_id, i.unit_price, i.quantity)"""
+
+
+@query(
+    """SELECT coalesce(f.price_id, o.price_id) AS price_id, CASE WHEN o.price_id IS NULL THEN 'insert' WHEN f.price_id IS NULL THEN 'delete' ELSE 'update' END AS kind, o.price AS old_price, f.price AS new_price,
+  CAST(o.quantity AS DOUBLE) AS old_quantity, CAST(f.quantity AS DOUBLE) AS new_quantity FROM fresh f FULL JOIN old o ON o.price_id = f.price_id WHERE o.price_id IS NULL OR f.price_id IS NULL OR o.price <> f.price OR o.quantity <> f.quantity""",
+    STORED,
+)
+def price_history_changes(m):
+    """The rebuild of the stored price history: what is generated anew against what is stored, as inserted, changed and deleted rows."""
+    one = lambda df: df.groupBy("price_id").agg(F.min(F.struct("price", "quantity")).alias("r")).select("price_id", "r.*")
+    ok = m.base.where("status = 'APPROVED' and not deleted").select("invoice_id")
+    lines = m.items.where("not is_free and not candidate_only and quantity > 0 and unit_price > 0").join(ok, "invoice_id", "left_semi")
+    price_id = F.concat(F.lit("price-"), "item_id").alias("price_id")
+    fresh = one(lines.select(price_id, c("unit_price").alias("price"), c("quantity").cast("double").alias("quantity")))
+    price = F.when(c("line_no") % 4 == 0, c("unit_price") * 2).otherwise(c("unit_price")).alias("price")
+    quantity = (c("quantity") + F.when(c("line_no") % 7 == 3, 1).otherwise(0)).cast("double").alias("quantity")
+    folder = shared_folder(m.spark)
+    one(m.lines.where("line_no % 5 <> 0 and not is_free").select(price_id, price, quantity)).write.parquet(folder)  # the stored table
+    d = differences(m.spark.read.parquet(folder), fresh, "price_id", ["price", "quantity"])
+    return d.select("price_id", "kind", "old_price", "new_price", "old_quantity", "new_quantity")
