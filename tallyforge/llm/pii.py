@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -80,14 +81,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, str]]:
+class Places:
+    """The whole words of a text and where they stand, found once."""
+
+    def __init__(self, text: str):
+        self.found = list(TERM.finditer(text))
+        self.starts, self.ends = [m.start() for m in self.found], [m.end() for m in self.found]
+
+    def around(self, s: int, e: int) -> list[re.Match]:
+        """The nearest WINDOW words that end before a span and that begin after it, however far away."""
+        before, after = bisect_right(self.ends, s), bisect_left(self.starts, e)
+        return self.found[max(0, before - WINDOW) : before] + self.found[after : after + WINDOW]
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]], places: Places | None = None) -> list[tuple[str, str, str]]:
     """(entity, term, context) for the terms around each entity. The context is the digest of the words around it."""
     out = []
+    places = places or Places(text if spans else "")
     for s, e, kind in spans:
-        before = TERM.findall(text[max(0, s - 16 * WINDOW) : s])[-WINDOW:]
-        after = TERM.findall(text[e : e + 16 * WINDOW])[:WINDOW]
         entity = f"{KINDS[kind] if kind < 4 else 'secret'}:{text[s:e]}"
-        words = [w.lower() for w in before + after]
+        words = [m.group().lower() for m in places.around(s, e)]
         mark = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).hexdigest()
         out += [(entity, w, mark) for w in set(words)]
     return out
@@ -111,9 +124,10 @@ def kind_contexts(text: str, found: list[tuple[int, int, int]]) -> list[tuple[st
     The context is the digest of the token, so a copied one counts once.
     """
     once = {}
+    places = Places(text if found else "")
     for s, e, k in found:
         value = hashlib.blake2b(text[s:e].encode("utf-8", "replace"), digest_size=8).hexdigest()
-        once |= {t: value for _, t, _ in contexts(text, [(s, e, k)])}
+        once |= {t: value for _, t, _ in contexts(text, [(s, e, k)], places)}
     return [("secret", "", "")] + [("secret", t, c) for t, c in once.items()] if found else []
 
 
@@ -266,10 +280,10 @@ def all_spans(text: str, terms: frozenset[str]) -> tuple[list, list]:
             for m in TERM.finditer(text):
                 if m.group().lower() in terms and not any(s < m.end() and m.start() < e for s, e, _ in base):
                     more.add((m.start(), m.end(), 4))
-        for s, e, _ in tokens(text, base):
-            lo = max(0, s - 16 * WINDOW)
-            around = list(TERM.finditer(text, lo, s))[-WINDOW:] + list(TERM.finditer(text, e, min(len(text), e + 16 * WINDOW)))[:WINDOW]
-            cues = [m for m in around if CUE + m.group().lower() in terms]
+        secrets = tokens(text, base)
+        places = Places(text if secrets else "")
+        for s, e, _ in secrets:
+            cues = [m for m in places.around(s, e) if CUE + m.group().lower() in terms]
             if cues:
                 more.add((s, e, 5))
                 more |= {(m.start(), m.end(), 4) for m in cues if not any(a < m.end() and m.start() < z for a, z, _ in base)}
