@@ -13,6 +13,8 @@ SIMPLIFIED = "国际贸进实业东车门开关电龙马鸟鱼麦黄齐宝岛岭
 UNITS = "FZ|OZ|ML|G|KG|LB|L"
 LEGAL = {"INC": "Inc.", "INC.": "Inc.", "INCORPORATED": "Inc.", "CO": "Co.", "CO.": "Co.", "COMPANY": "Company", "LTD": "Ltd.", "LTD.": "Ltd.", "LIMITED": "Ltd.", "LLC": "LLC", "CORP": "Corp.", "CORP.": "Corp.", "CORPORATION": "Corp."}
 LEGAL_WORDS = r"(?<![A-Z0-9_])(INC\.?|INCORPORATED|CO\.?|COMPANY|LTD\.?|LIMITED|LLC|CORP\.?|CORPORATION|INTERNATIONAL|TRADING|IMPORT|EXPORT)(?![A-Z0-9_])"
+#: Words at the end of a Chinese trade name that its key leaves out, simplified.
+TRADE_ENDING = "(股份有限公司|有限责任公司|有限公司|公司|股份|国际|贸易|进出口|商行|企业)$"
 PACKAGING = ("PET", "CAN", "BTL", "BOTTLE", "CASE", "CS", "PK", "PACK")
 
 
@@ -58,7 +60,7 @@ def supplier_key(x: Column) -> Column:
     """Half-width, simplified, upper-case, without legal words; letters, digits and CJK only. An empty key falls back to the unstripped one."""
     whole = F.upper(simplify(half_width(x)))
     keep = "[^㐀-鿿A-Z0-9]+"
-    short = F.regexp_replace(F.regexp_replace(whole, LEGAL_WORDS, " "), keep, "")
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, TRADE_ENDING, ""), LEGAL_WORDS, " "), keep, "")
     short = F.regexp_replace(short, "股份有限公司|有限公司|公司|股份", "")
     return F.coalesce(F.nullif(short, F.lit("")), F.regexp_replace(whole, keep, ""))
 

@@ -18,7 +18,8 @@ def signatures(items: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, sides: list[str]) -> DataFrame:
     """Pairs (x, y) with x after y: the same number in a tenant, or the same supplier and nearly the same amount and date.
 
-    Amounts meet in the same or a neighbouring cent, so both conditions are equi-joins.
+    Amounts meet in the same or a neighbouring cent, so both conditions are equi-joins; the second leaves out what the first
+    finds, so no pair comes twice and none is compared as a whole.
     """
     left = entries.select(*[c(k).alias(f"x_{k}") for k in sides])
     right = entries.select(*[c(k).alias(f"y_{k}") for k in sides])
@@ -26,8 +27,8 @@ def candidates(entries: DataFrame, sides: list[str]) -> DataFrame:
     by_number = left.join(right, (c("x_company_id") == c("y_company_id")) & (c("x_invoice_no") == c("y_invoice_no")) & after)
     near = left.withColumn("cents", F.explode(F.expr("sequence(cast(x_total_amount * 100 as bigint) - 1, cast(x_total_amount * 100 as bigint) + 1)")))
     close = (F.abs(F.datediff("x_invoice_date", "y_invoice_date")) <= 1) & (F.abs(c("x_total_amount") - c("y_total_amount")) < 0.01)
-    by_amount = near.join(right.withColumn("y_cents", F.expr("cast(y_total_amount * 100 as bigint)")), (c("x_company_id") == c("y_company_id")) & (c("x_supplier_id") == c("y_supplier_id")) & (c("cents") == c("y_cents")) & after & close & (c("x_total_amount") > 0))
-    return by_number.union(by_amount.drop("cents", "y_cents")).distinct()
+    by_amount = near.join(right.withColumn("y_cents", F.expr("cast(y_total_amount * 100 as bigint)")), (c("x_company_id") == c("y_company_id")) & (c("x_supplier_id") == c("y_supplier_id")) & (c("cents") == c("y_cents")) & after & close & (c("x_total_amount") > 0) & ~F.coalesce(c("x_invoice_no") == c("y_invoice_no"), F.lit(False)))
+    return by_number.union(by_amount.drop("cents", "y_cents"))
 
 
 def classify(same_number: Column, same_amount: Column, same_items: Column, close_date: Column, same_group: Column, same_supplier: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.encoding import learned_likelihood, repaired_ideographs, repaired_text, suspicious
 from tallyforge.plans.ledger import SYNC, queue
+from tallyforge.functions import text as T
 from tallyforge.plans.registry import query
 
 c = F.col
@@ -27,7 +28,7 @@ def low_confidence_fields(m):
 
 
 @query(
-    """SELECT i.invoice_id, coalesce(x.gift, false) AS gift, d.invoice_id IS NOT NULL AS discount, i.warnings <> '' AS warned, contains(i.warnings, 'MULTI_PAGE') AS pages,
+    """SELECT i.invoice_id, coalesce(x.gift, false) AS gift, d.invoice_id IS NOT NULL AS discount, i.warnings <> '' AS warned, contains(i.warnings, 'MULTI_PAGE') AS pages, abs(i.total_amount - 1) < 0.01 AS exact,
   i.invoice_date >= DATE '1993-01-01' AND i.invoice_date < DATE '1997-01-01' AND contains(i.invoice_no, '7') AND i.total_amount BETWEEN 1000 AND 200000 AND coalesce(x.gift, false) AND d.invoice_id IS NOT NULL AND NOT (i.warnings <> '') AS matches
   FROM invoices i LEFT JOIN (SELECT invoice_id, bool_or(is_free) AS gift FROM items GROUP BY 1) x ON x.invoice_id = i.invoice_id LEFT JOIN discounts d ON d.invoice_id = i.invoice_id WHERE NOT i.deleted"""
 )
@@ -35,7 +36,7 @@ def supplier_history_flags(m):
     """The flags of an invoice in a supplier's history, and whether a set of filters (dates, number, amounts, flags) keeps it."""
     x = m.lines.groupBy("invoice_id").agg(F.bool_or("is_free").alias("gift"))
     d = m.invoices.where("not deleted").join(x, "invoice_id", "left").join(m.discounts.select("invoice_id", F.lit(True).alias("d")), "invoice_id", "left")
-    flags = {"gift": F.coalesce("gift", F.lit(False)), "discount": F.coalesce("d", F.lit(False)), "warned": c("warnings") != "", "pages": c("warnings").contains("MULTI_PAGE")}
+    flags = {"gift": F.coalesce("gift", F.lit(False)), "discount": F.coalesce("d", F.lit(False)), "warned": c("warnings") != "", "pages": c("warnings").contains("MULTI_PAGE"), "exact": F.abs(c("total_amount") - 1) < 0.01}
     filters = [c("invoice_date") >= F.lit("1993-01-01").cast("date"), c("invoice_date") < F.lit("1997-01-01").cast("date"), c("invoice_no").contains("7"), c("total_amount").between(1000, 200000), flags["gift"], flags["discount"], ~flags["warned"]]
     keep = filters[0]
     for f in filters[1:]:
@@ -165,20 +166,34 @@ COUNTED = r"\b(\d+/\d+(?:\.\d+)?(?:FZ|OZ|ML|G|KG|LB|L)|\d+X\d+(?:\.\d+)?(?:FZ|OZ
 SIZED = r"\b(\d+(?:\.\d+)?(?:FZ|OZ|ML|G|KG|LB|L))\b"
 
 
+#: Packages that are no brand, the name of a group that a person has to decide, and the two rules.
+NO_BRAND = ("PET", "CAN", "BTL", "BOTTLE", "CASE", "CS", "PK", "PACK")
+UNDECIDED, UNSURE_RULE, SURE_RULE = "需要人工确认分摊组", "uncertain: missing brand, product name, or package/spec", "same brand + same normalized product + same spec/package"
+
+
 @query(
-    f"""SELECT product_id, CASE WHEN specs = '' THEN '' ELSE 'BRAND|' || specs END AS spec_key, CASE WHEN specs = '' THEN 'uncertain' ELSE 'same brand, name and package' END AS rule FROM (
-    SELECT product_id, concat_ws('|', nullif(regexp_extract(t, '{PACKAGES}', 1), ''), coalesce(nullif(regexp_extract(t, '{COUNTED}', 1), ''), nullif(regexp_extract(t, '{SIZED}', 1), ''))) AS specs
-    FROM (SELECT p_partkey AS product_id, upper(p_brand || ' ' || p_name || CASE p_partkey % 5 WHEN 0 THEN ' can 12x355ml' WHEN 1 THEN ' 24/500ml' WHEN 2 THEN ' jar ' || p_size || 'oz' WHEN 3 THEN ' tinned' ELSE ' 5lb' END) AS t FROM part))"""
+    f"""SELECT product_id, CASE WHEN ok THEN brand || '|' || norm || '|' || array_to_string(specs, '|') ELSE '' END AS group_key, CASE WHEN ok THEN brand || ' ' || array_to_string(specs, ' ') ELSE '{UNDECIDED}' END AS group_name, CASE WHEN ok THEN '{SURE_RULE}' ELSE '{UNSURE_RULE}' END AS rule FROM (
+  SELECT *, brand <> '' AND norm <> '' AND len(specs) > 0 AS ok FROM (SELECT product_id, coalesce(list_filter(string_split_regex(upper(name || tail), '[^A-Z0-9]+'), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]') AND x NOT IN {NO_BRAND})[1], '') AS brand,
+    trim(regexp_replace(regexp_replace(lower(name), '\s*x\s*', 'X', 'g'), '\s+', ' ', 'g')) AS norm,
+    list_filter([nullif(regexp_extract(upper(name || tail), '{PACKAGES}', 1), ''), coalesce(nullif(regexp_extract(upper(name || tail), '{COUNTED}', 1), ''), nullif(regexp_extract(upper(name || tail), '{SIZED}', 1), ''))], lambda x: x IS NOT NULL) AS specs
+    FROM (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 10 = 9 THEN '12' || p_size WHEN p_partkey % 20 = 4 THEN '' ELSE p_brand || ' ' || p_name END AS name,
+      CASE p_partkey % 5 WHEN 0 THEN ' can 12x355ml' WHEN 1 THEN ' 24/500ml' WHEN 2 THEN ' jar ' || p_size || 'oz' WHEN 3 THEN ' tinned' ELSE ' 5lb' END AS tail FROM part)))"""
 )
 def promo_candidates(m):
-    """The package and size of a product's name as the key of its promotion group, and whether that is certain."""
-    tail = F.when(c("p_partkey") % 5 == 0, " can 12x355ml").when(c("p_partkey") % 5 == 1, " 24/500ml").when(c("p_partkey") % 5 == 2, F.concat(F.lit(" jar "), c("p_size").cast("string"), F.lit("oz"))).when(c("p_partkey") % 5 == 3, " tinned").otherwise(" 5lb")
-    t = F.upper(F.concat("p_brand", F.lit(" "), "p_name", tail))
+    """The promotion group of a product: brand, normalised name, package and size, with its name, and the rule; without one of them a person decides."""
+    k = c("p_partkey")
+    name = F.when(k % 10 == 9, F.concat(F.lit("12"), c("p_size").cast("string"))).when(k % 20 == 4, "").otherwise(F.concat_ws(" ", "p_brand", "p_name"))
+    tail = F.when(k % 5 == 0, " can 12x355ml").when(k % 5 == 1, " 24/500ml").when(k % 5 == 2, F.concat(F.lit(" jar "), c("p_size").cast("string"), F.lit("oz"))).when(k % 5 == 3, " tinned").otherwise(" 5lb")
+    d = m.table("part").select(k.alias("product_id"), name.alias("name"), F.concat(name, tail).alias("source"))
+    tokens = F.split(F.upper(T.product_name(c("source"))), "[^A-Z0-9一-鿿]+")
+    brand = F.coalesce(F.get(F.filter(tokens, lambda x: (x != "") & ~x.rlike("^[0-9]") & ~x.isin(*NO_BRAND)), F.lit(0)), F.lit(""))
+    t = F.upper(T.unit_text(T.simplify(c("source"))))
     part = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    specs = F.concat_ws("|", part(PACKAGES), F.coalesce(part(COUNTED), part(SIZED)))
-    brand = F.element_at(F.filter(F.split(t, "[^A-Z0-9]+"), lambda x: (x != "") & ~x.rlike("^[0-9]") & ~x.isin("PET", "CAN", "BTL", "BOTTLE", "CASE", "CS", "PK", "PACK")), 1)
-    sure = specs != ""
-    return m.table("part").select(c("p_partkey").alias("product_id"), F.when(sure, F.concat_ws("|", brand, specs)).otherwise("").alias("spec_key"), F.when(sure, "same brand, name and package").otherwise("uncertain").alias("rule"))
+    specs = F.array_compact(F.array(part(PACKAGES), F.coalesce(part(COUNTED), part(SIZED))))
+    d = d.select("product_id", brand.alias("brand"), T.product_name(c("name")).alias("norm"), specs.alias("specs"))
+    ok = (c("brand") != "") & (c("norm") != "") & (F.size("specs") > 0)
+    key, shown = F.concat_ws("|", "brand", "norm", F.array_join("specs", "|")), F.concat_ws(" ", "brand", F.array_join("specs", " "))
+    return d.select("product_id", F.when(ok, key).otherwise("").alias("group_key"), F.when(ok, shown).otherwise(UNDECIDED).alias("group_name"), F.when(ok, SURE_RULE).otherwise(UNSURE_RULE).alias("rule"))
 
 
 @query(

@@ -111,7 +111,7 @@ def stream_price_anomaly(m):
     """
     folder = shared_folder(m.spark)
     place = F.format_string("%020d-%010d-%s", "invoice_id", c("line_no").cast("int"), "item_id")
-    rows = m.prices.select("company_id", "supplier_id", "product_id", "item_id", c("invoice_date").cast("timestamp").alias("at"), place.alias("place"), "price")
+    rows = m.bare_prices.select("company_id", "supplier_id", "product_id", "item_id", c("invoice_date").cast("timestamp").alias("at"), place.alias("place"), "price")
     year = F.year(F.date_add(c("at").cast("date"), F.pmod(F.xxhash64("item_id"), F.lit(JITTER)).cast("int")))
     rows.withColumn("year", year).write.partitionBy("year").parquet(folder + "/rows")
     stored = m.spark.read.parquet(folder + "/rows")

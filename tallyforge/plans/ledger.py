@@ -447,6 +447,7 @@ NAMES = """names AS (
   SELECT doc_id, k, trim(line) AS name, CASE WHEN doc_id % 3 = 0 THEN CAST((doc_id + k) % 10 AS DOUBLE) / 10 WHEN k % 2 = 0 THEN CAST(0.82 AS DOUBLE) ELSE CAST(0.45 AS DOUBLE) END AS confidence, k % 2 = 0 AS by_ai
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents)
 )"""
+#: Characters that names have, and the reasons not to trust one.
 OTHER = r"[^A-Za-z0-9\x{3400}-\x{9fff}\s.&'’()\-/]"
 REASONS = r"""concat_ws(', ', CASE WHEN name = '' THEN 'empty_name' END, CASE WHEN confidence < 0.55 THEN 'low_confidence' END,
   CASE WHEN regexp_matches(name, '=|\*{2,}|\?{2,}|[_|]{3,}') THEN 'symbol_noise' END,
@@ -478,7 +479,7 @@ def name_quality_reasons(m):
 
 
 #: How an invoice number and a total are written.
-NUMBER = (r"(?i)\b(?:invoice\s*(?:#|no\.?|number)?|inv\s*(?:#|no\.?)?)\s*[:#-]?\s*([A-Z0-9][A-Z0-9._/-]*)", r"(?i)(?:发票号|單號|单号)\s*[:#：]?\s*([A-Z0-9][A-Z0-9._/-]*)")
+NUMBER = (r"(?i)\b(?:invoice\s*(?:#|no\.?|number)?|inv\s*(?:#|no\.?)?)\s*[:#-]?\s*([A-Z0-9][A-Z0-9._/-]*)", r"(?i)(?:发票号|單號|单号)\s*[:#：-]?\s*([A-Z0-9][A-Z0-9._/-]*)")
 TOTAL = r"(?i)\bgrand\s+total\b|\bamount\s+due\b|\btotal\b|合计|總計|总计|應付金額|应付金额"
 SKIP = r"(?i)\b(subtotal|tax|balance\s+forward)\b|小计|稅|税"
 SURE = r"(?i)\bgrand\s+total\b|\bamount\s+due\b|應付|应付"

@@ -22,8 +22,9 @@ classes AS (SELECT *, CASE WHEN NOT same_supplier THEN 'none' WHEN NOT same_numb
 
 
 def pairs(m):
-    sig = dedup.signatures(m.items).withColumnRenamed("invoice_id", "root")
-    e = m.entries.withColumn("root", c("invoice_id") % 1_000_000_000).join(sig, "root", "left").withColumn("signature", F.coalesce("signature", F.lit("")))
+    # pairs are compared by the digest of the signature, which is all that the joins carry
+    sig = dedup.signatures(m.items).select(c("invoice_id").alias("root"), F.sha2("signature", 256).alias("signature"))
+    e = m.entries.withColumn("root", c("invoice_id") % 1_000_000_000).join(sig, "root", "left").withColumn("signature", F.coalesce("signature", F.sha2(F.lit(""), 256)))
     return dedup.candidates(e, ["invoice_id", "company_id", "supplier_id", "invoice_no", "invoice_date", "total_amount", "batch_id", "signature"])
 
 

@@ -75,7 +75,7 @@ def invoice_save_status(m):
 
 @query("SELECT product_id, supplier_id, min(price) AS low, max(price) AS top, CAST(SUM(CAST(floor(price * 10000) AS BIGINT)) AS DOUBLE) / COUNT(*) / 10000 AS mean, COUNT(*) AS n, least(0.99, 0.82 + 0.02 * COUNT(*))::DOUBLE AS confidence FROM prices WHERE company_id <> '' GROUP BY 1, 2")
 def alias_learning(m):
-    return learned(m.prices, ["product_id", "supplier_id"], 0.82, 0.02, 0.99)
+    return learned(m.bare_prices, ["product_id", "supplier_id"], 0.82, 0.02, 0.99)
 
 
 @query("SELECT company_id, product_name, supplier_id, min(price) AS low, max(price) AS top, CAST(SUM(CAST(floor(price * 10000) AS BIGINT)) AS DOUBLE) / COUNT(*) / 10000 AS mean, COUNT(*) AS n, least(1.0, 0.75 + 0.03 * COUNT(*))::DOUBLE AS confidence FROM prices GROUP BY 1, 2, 3")
@@ -100,13 +100,13 @@ def price_anomalies(m):
     """Each price against the mean of strictly earlier ones of its supplier and product."""
     w = Window.partitionBy("company_id", "supplier_id", "product_id").orderBy("invoice_date", "invoice_id", "line_no", "item_id").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.sum(F.floor(c("price") * 10000)).over(w).cast("double") / F.nullif(F.count("*").over(w), F.lit(0)) / 10000
-    d = m.prices.withColumn("prior", prior).where((c("prior") > 0) & (F.abs(c("price") - c("prior")) / c("prior") > ANOMALY))
+    d = m.bare_prices.withColumn("prior", prior).where((c("prior") > 0) & (F.abs(c("price") - c("prior")) / c("prior") > ANOMALY))
     return d.select("item_id", "price", "prior", ((c("price") - c("prior")) / c("prior")).alias("deviation"))
 
 
 @query("SELECT supplier_id, product_id, arg_max(price, {'d': invoice_date, 'i': invoice_id, 'k': item_id}) AS price, max(invoice_date) AS latest FROM prices GROUP BY 1, 2")
 def latest_price(m):
-    return m.prices.groupBy("supplier_id", "product_id").agg(F.max_by("price", F.struct("invoice_date", "invoice_id", "item_id")).alias("price"), F.max("invoice_date").alias("latest"))
+    return m.bare_prices.groupBy("supplier_id", "product_id").agg(F.max_by("price", F.struct("invoice_date", "invoice_id", "item_id")).alias("price"), F.max("invoice_date").alias("latest"))
 
 
 @query("""SELECT key, price, origin FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY price > 0 DESC, origin DESC) AS rn FROM (

@@ -71,7 +71,7 @@ def monthly_spend(m):
 @query("SELECT product_id, price, supplier_id, invoice_no, invoice_date FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, invoice_date, item_id) AS rn FROM prices WHERE price > 0) WHERE rn = 1")
 def lowest_prices(m):
     best = F.min_by(F.struct("price", "supplier_id", "invoice_no", "invoice_date"), F.struct("price", "invoice_date", "item_id"))
-    return m.prices.where("price > 0").groupBy("product_id").agg(best.alias("b")).select("product_id", "b.*")
+    return m.bare_prices.where("price > 0").groupBy("product_id").agg(best.alias("b")).select("product_id", "b.*")
 
 
 @query("""SELECT product_id, COUNT(*) AS records, COUNT(*) FILTER (price > 2000) AS high, min(price) AS low, max(price) AS top, CAST(SUM(total) AS DOUBLE) / CAST(SUM(quantity) AS DOUBLE) AS mean,
@@ -80,7 +80,7 @@ def lowest_prices(m):
 def price_summary(m):
     """Prices by product with the latest record; products without any are added."""
     k = F.struct("invoice_date", "item_id")
-    d = m.prices.groupBy("product_id").agg(
+    d = m.bare_prices.groupBy("product_id").agg(
         F.count("*").alias("records"), F.count_if(c("price") > 2000).alias("high"), F.min("price").alias("low"), F.max("price").alias("top"),
         (money("total") / money("quantity")).alias("mean"), F.max_by(F.struct(c("price").alias("latest"), c("supplier_id").alias("supplier"), c("invoice_no").alias("invoice")), k).alias("l"),
     )

@@ -89,10 +89,20 @@ def audit_dup_prices(m):
     return dup_prices(m)
 
 
-@query("SELECT 'invoices' AS tbl, COUNT(*) FILTER (invoice_id % 33 = 0) AS n FROM base UNION ALL SELECT 'suppliers', COUNT(*) FILTER (supplier_id % 33 = 0) FROM suppliers_v")
+#: Tables with a tenant, and the number by which some rows of each have lost it.
+TENANTS = {"invoices": ("base", "invoice_id"), "suppliers": ("suppliers_v", "supplier_id"), "invoice_items": ("items", "invoice_id"), "invoice_discounts": ("discounts", "invoice_id"), "price_history": ("prices", "invoice_id"), "changes": ("feed", "change_id"), "tasks": ("tasks", "task_id"), "entries": ("entries", "invoice_id")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, COUNT(*) FILTER ({key} % 33 = 0) AS n FROM {view}" for t, (view, key) in TENANTS.items()))
 def audit_null_tenant(m):
-    blank = lambda df, key, name: df.select(F.when(c(key) % 33 != 0, c("company_id")).alias("t")).agg(F.count_if(F.coalesce("t", F.lit("")) == "").alias("n")).select(F.lit(name).alias("tbl"), "n")
-    return blank(m.base, "invoice_id", "invoices").union(blank(m.suppliers, "supplier_id", "suppliers"))
+    """Rows without a tenant, table by table."""
+    tables = {"invoices": m.base, "suppliers": m.suppliers, "invoice_items": m.lines, "invoice_discounts": m.discounts, "price_history": m.bare_prices, "changes": m.feed, "tasks": m.tasks, "entries": m.entries}
+    out = None
+    for tbl, df in tables.items():
+        tenant = F.when(c(TENANTS[tbl][1]) % 33 != 0, F.lit("7"))
+        d = df.select(tenant.alias("company_id")).agg(F.count_if(F.coalesce("company_id", F.lit("")) == "").alias("n")).select(F.lit(tbl).alias("tbl"), "n")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @query("SELECT supplier_id, supplier_id % 4 = 0 AS repeats FROM suppliers_v WHERE supplier_id % 4 = 0 OR company_id IN (SELECT company_id FROM suppliers_v GROUP BY company_id, segment HAVING COUNT(*) > 1) AND segment IN (SELECT s.segment FROM suppliers_v s WHERE s.company_id = suppliers_v.company_id GROUP BY s.segment HAVING COUNT(*) > 1)")
@@ -106,14 +116,29 @@ def audit_suspects(m):
     return d.where("repeats or alike > 1").select("supplier_id", "repeats")
 
 
-OCR = "concat_ws(',', CASE WHEN product_id % 50 = 0 THEN 'empty' END, CASE WHEN line_no = 7 AND brand = 'Brand#7' THEN 'unflagged_discount' END, CASE WHEN total <= 0 THEN 'no_money' END, CASE WHEN product_id % 90 = 1 THEN 'too_long' END)"
+#: Characters that stand in damaged names, and the longest name.
+DAMAGED, LONGEST = "�|鍥|娴|绋|璁|鐨|渚|搴", 140
+OCR_ITEMS = """read AS (SELECT item_id, is_free, line_no % 6 = 5 AS is_discount, CASE WHEN line_no = 4 THEN -total ELSE total END AS money, CASE WHEN line_no = 4 THEN -unit_price WHEN product_id % 41 = 0 THEN 0 ELSE unit_price END AS price,
+  trim(CASE WHEN product_id % 50 = 0 THEN ' ' WHEN product_id % 90 = 1 THEN repeat(raw_name, 20) WHEN product_id % 30 = 2 THEN raw_name || ' 娴嬭瘯' WHEN product_id % 20 = 3 THEN raw_name || ' DISCOUNT' WHEN product_id % 20 = 5 THEN raw_name || ' 折扣' ELSE raw_name END) AS name FROM items)"""
+OCR = f"""concat_ws(',', CASE WHEN name = '' THEN 'empty' END, CASE WHEN regexp_matches(name, '{DAMAGED}') THEN 'damaged' END, CASE WHEN NOT is_discount AND (contains(lower(name), 'discount') OR contains(name, '折扣')) THEN 'unflagged_discount' END,
+  CASE WHEN NOT is_discount AND (money < 0 OR price < 0) THEN 'negative' END, CASE WHEN money = 0 AND price = 0 AND NOT is_free AND NOT is_discount THEN 'no_money' END, CASE WHEN length(name) > {LONGEST} THEN 'too_long' END)"""
 
 
-@query(f"SELECT item_id, {OCR} AS rules FROM items WHERE {OCR} <> ''")
+@query(f"SELECT item_id, {OCR} AS rules FROM read WHERE {OCR} <> ''", OCR_ITEMS)
 def audit_ocr_items(m):
-    name = F.when(c("product_id") % 50 == 0, " ").when(c("product_id") % 90 == 1, F.repeat("raw_name", F.lit(20))).when((c("line_no") == 7) & (c("brand") == "Brand#7"), F.concat("raw_name", F.lit(" DISCOUNT"))).otherwise(c("raw_name"))
-    d = m.items.withColumn("name", name).withColumn("flag", F.when((c("line_no") == 7) & (c("brand") == "Brand#7"), True).otherwise(False))
-    rules = F.concat_ws(",", F.when(F.trim("name") == "", "empty"), F.when(c("flag"), "unflagged_discount"), F.when(c("total") <= 0, "no_money"), F.when(F.length("name") > 140, "too_long"))
+    """Lines that a person should look at, and why: by name, by money, by length."""
+    k, raw = c("product_id"), c("raw_name")
+    name = (
+        F.when(k % 50 == 0, " ").when(k % 90 == 1, F.repeat(raw, F.lit(20))).when(k % 30 == 2, F.concat(raw, F.lit(" 娴嬭瘯")))
+        .when(k % 20 == 3, F.concat(raw, F.lit(" DISCOUNT"))).when(k % 20 == 5, F.concat(raw, F.lit(" 折扣"))).otherwise(raw)
+    )
+    money, price = F.when(c("line_no") == 4, -c("total")).otherwise(c("total")), F.when(c("line_no") == 4, -c("unit_price")).when(k % 41 == 0, 0).otherwise(c("unit_price"))
+    d = m.items.select("item_id", "is_free", (c("line_no") % 6 == 5).alias("is_discount"), F.trim(name).alias("name"), money.alias("money"), price.alias("price"))
+    plain = ~c("is_discount")
+    rules = F.concat_ws(
+        ",", F.when(c("name") == "", "empty"), F.when(c("name").rlike(DAMAGED), "damaged"), F.when(plain & (F.lower("name").contains("discount") | c("name").contains("折扣")), "unflagged_discount"),
+        F.when(plain & ((c("money") < 0) | (c("price") < 0)), "negative"), F.when((c("money") == 0) & (c("price") == 0) & ~c("is_free") & plain, "no_money"), F.when(F.length("name") > LONGEST, "too_long"),
+    )
     return d.select("item_id", rules.alias("rules")).where("rules <> ''")
 
 
@@ -159,14 +184,14 @@ def purge_deleted(m):
     return m.base.where(~(c("deleted") & (c("sync_status") == "synced"))).groupBy("sync_status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT supplier_id, min(seq) AS lo, max(seq) AS hi, COUNT(*) AS n FROM (SELECT supplier_id, seq, seq - row_number() OVER (PARTITION BY supplier_id ORDER BY seq) AS g FROM (SELECT DISTINCT supplier_id % 50 AS supplier_id, invoice_id AS seq FROM base)) GROUP BY supplier_id, g HAVING COUNT(*) > 1")
+@query("SELECT supplier_id, min(seq) AS lo, max(seq) AS hi, COUNT(*) AS n, 'INV-' || min(seq) || ' - INV-' || max(seq) AS label FROM (SELECT supplier_id, seq, seq - row_number() OVER (PARTITION BY supplier_id ORDER BY seq) AS g FROM (SELECT DISTINCT supplier_id % 50 AS supplier_id, invoice_id AS seq FROM base)) GROUP BY supplier_id, g HAVING COUNT(*) > 1")
 def invoice_runs(m):
     """Runs of consecutive invoice numbers of a supplier; a run starts where the step isn't one."""
     seq = F.regexp_extract("invoice_no", r"(\d+)\D*$", 1).try_cast("bigint")
-    d = m.base.select((c("supplier_id") % 50).alias("supplier_id"), seq.alias("seq")).distinct()
+    d = m.base.select((c("supplier_id") % 50).alias("supplier_id"), seq.alias("seq"), "invoice_no").dropDuplicates(["supplier_id", "seq"])
     w = Window.partitionBy("supplier_id").orderBy("seq")
     d = d.withColumn("new", F.coalesce(c("seq") - F.lag("seq").over(w) != 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    return d.groupBy("supplier_id", "run").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")).where("n > 1").drop("run")
+    return d.groupBy("supplier_id", "run").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n"), F.concat_ws(" - ", F.min_by("invoice_no", "seq"), F.max_by("invoice_no", "seq")).alias("label")).where("n > 1").drop("run")
 
 
 @query("SELECT invoice_id, CASE WHEN rn = 1 THEN 'first' WHEN amount = first_amount THEN 'duplicate' ELSE 'conflict' END AS cls FROM (SELECT invoice_id, CAST(total_amount AS DOUBLE) + CASE WHEN copy AND invoice_id % 20 = 0 THEN 1 ELSE 0 END AS amount, row_number() OVER w AS rn, first_value(CAST(total_amount AS DOUBLE)) OVER w AS first_amount FROM entries WINDOW w AS (PARTITION BY company_id, invoice_no ORDER BY invoice_id))")

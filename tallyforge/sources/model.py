@@ -83,6 +83,14 @@ class Model:
         d = self.items.where("not is_free").groupBy("invoice_id").agg(F.sum(F.expr("list_price * discount_rate")).alias("s"), F.min("brand").alias("brand"))
         return d.where("s > 0").selectExpr("invoice_id", "concat(brand, ' discount') as discount_name", "cast(-s as decimal(18,4)) as amount")
 
+    @cached_property
+    def bare_prices(self) -> DataFrame:
+        """The price history without the products' names, so the parts aren't read; every line has a part."""
+        inv = self.base.where("status = 'APPROVED' and not deleted").select("invoice_id", "company_id", "invoice_date", "invoice_no")
+        return self.lines.where("not is_free and not candidate_only and quantity > 0").join(inv, "invoice_id").selectExpr(
+            "item_id", "company_id", "supplier_id", "product_id", "unit_price as price", "quantity", "total", "invoice_date", "invoice_id", "invoice_no", "line_no",
+        )
+
     @cached_property
     def prices(self) -> DataFrame:
         """Price history: paid lines of approved live invoices."""
