@@ -80,3 +80,80 @@ def product_search_all(m):
     asked = m.table("part").where(k % 97 == 3).select(k.alias("query_id"), q.alias("q"))
     records = cut(product_records(m))
     return S.found(asked, "q", records, "product_id", "text", S.index(records, "product_id", "text")).select("query_id", "product_id")
+
+
+# --- snapshots and summaries ----------------------------------------------------------------
+
+SNAPSHOT = """snapshot AS (
+  SELECT 'suppliers' AS tbl, CAST(supplier_id AS VARCHAR) AS id, TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * (supplier_id % 400) AS updated_at, deleted FROM suppliers_v
+  UNION ALL SELECT 'products', CAST(p_partkey AS VARCHAR), TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * (p_partkey % 300), false FROM part
+  UNION ALL SELECT 'invoices', CAST(invoice_id AS VARCHAR), CAST(invoice_date AS TIMESTAMP), deleted FROM base
+  UNION ALL SELECT 'invoice_items', item_id, CAST(ship_date AS TIMESTAMP), candidate_only FROM items
+  UNION ALL SELECT 'invoice_discounts', CAST(d.invoice_id AS VARCHAR), CAST(invoice_date AS TIMESTAMP), deleted FROM discounts d JOIN base b ON b.invoice_id = d.invoice_id
+  UNION ALL SELECT 'price_history', item_id, CAST(invoice_date AS TIMESTAMP), false FROM prices
+  UNION ALL SELECT DISTINCT 'product_aliases', supplier_id || '-' || product_id, max(CAST(invoice_date AS TIMESTAMP)) OVER (PARTITION BY supplier_id, product_id), false FROM prices
+  UNION ALL SELECT DISTINCT 'product_learning_rules', company_id || '-' || product_name, max(CAST(invoice_date AS TIMESTAMP)) OVER (PARTITION BY company_id, product_name), false FROM prices
+  UNION ALL SELECT 'recognition_corrections', CAST(invoice_id AS VARCHAR), CAST(invoice_date AS TIMESTAMP), deleted FROM base WHERE invoice_id % 3 = 0
+  UNION ALL SELECT 'recognition_tasks', CAST(task_id AS VARCHAR), created_at, status = 'failed' FROM tasks
+  UNION ALL SELECT 'supplier_templates', CAST(supplier_id AS VARCHAR), TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * (supplier_id % 400), supplier_id % 9 = 0 FROM suppliers_v
+  UNION ALL SELECT DISTINCT 'purchase_batches', company_id || '/' || batch_id, max(CAST(invoice_date AS TIMESTAMP)) OVER (PARTITION BY company_id, batch_id), false FROM base
+  UNION ALL SELECT 'changes', CAST(change_id AS VARCHAR), updated_at, deleted FROM feed)"""
+
+
+def snapshot(m):
+    """(tbl, id, updated_at, deleted): every row of the thirteen synchronised tables."""
+    day = lambda n: F.expr(f"timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval({n})")
+    at = lambda x: c(x).cast("timestamp_ntz")
+    no = F.lit(False)
+    row = lambda df, tbl, id_, when, gone=no: df.select(F.lit(tbl).alias("tbl"), id_.cast("string").alias("id"), when.alias("updated_at"), gone.alias("deleted"))
+    last = lambda df, *keys: df.groupBy(*keys).agg(F.max("invoice_date").alias("invoice_date"))
+    b = m.base
+    tables = [
+        row(m.suppliers, "suppliers", c("supplier_id"), day("supplier_id % 400"), c("deleted")), row(m.table("part"), "products", c("p_partkey"), day("p_partkey % 300")),
+        row(b, "invoices", c("invoice_id"), at("invoice_date"), c("deleted")), row(m.lines, "invoice_items", c("item_id"), at("ship_date"), c("candidate_only")),
+        row(m.discounts.select("invoice_id").join(b, "invoice_id"), "invoice_discounts", c("invoice_id"), at("invoice_date"), c("deleted")), row(m.bare_prices, "price_history", c("item_id"), at("invoice_date")),
+        row(last(m.bare_prices, "supplier_id", "product_id"), "product_aliases", F.concat_ws("-", c("supplier_id").cast("string"), c("product_id").cast("string")), at("invoice_date")),
+        row(last(m.prices, "company_id", "product_name"), "product_learning_rules", F.concat_ws("-", "company_id", "product_name"), at("invoice_date")),
+        row(b.where("invoice_id % 3 = 0"), "recognition_corrections", c("invoice_id"), at("invoice_date"), c("deleted")), row(m.tasks, "recognition_tasks", c("task_id"), at("created_at"), c("status") == "failed"),
+        row(m.suppliers, "supplier_templates", c("supplier_id"), day("supplier_id % 400"), c("supplier_id") % 9 == 0), row(last(b, "company_id", "batch_id"), "purchase_batches", F.concat_ws("/", "company_id", "batch_id"), at("invoice_date")),
+        row(m.feed, "changes", c("change_id"), at("updated_at"), c("deleted")),
+    ]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+@query("SELECT tbl, id, updated_at, deleted FROM snapshot", SNAPSHOT)
+def src_snapshot_rows(m):
+    """The full snapshot: the rows of all thirteen tables in one stream, by the time of their change (a range sort, nothing is gathered)."""
+    return snapshot(m).orderBy("updated_at", "tbl", "id")
+
+
+@query("SELECT tbl, COUNT(*) FILTER (NOT deleted) AS live, COUNT(*) AS stored FROM snapshot GROUP BY 1", SNAPSHOT)
+def live_counts(m):
+    """Live and stored rows of each table, from one conditional count."""
+    return snapshot(m).groupBy("tbl").agg(F.count_if(~c("deleted")).alias("live"), F.count("*").alias("stored"))
+
+
+def price_summaries(m, text: str | None):
+    """Products with their price records that match a text (all without one); products without records are added where a text is given or nothing else was found."""
+    named = m.table("part").select(c("p_partkey").alias("product_id"), F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("name"))
+    asked = named.where(c("name").contains(text.lower())) if text else named
+    d = m.bare_prices.groupBy("product_id").agg(F.count("*").alias("records"), F.min("price").alias("low"), F.max("price").alias("top")).join(asked.select("product_id"), "product_id", "left_semi")
+    if not text and d.limit(1).count():
+        return d
+    rest = asked.select("product_id").join(d, "product_id", "left_anti").selectExpr("product_id", "0L as records", "cast(null as double) as low", "cast(null as double) as top")
+    return d.unionByName(rest)
+
+
+SUMMED = "summed AS (SELECT product_id, COUNT(*) AS records, min(price) AS low, max(price) AS top FROM prices GROUP BY 1)"
+
+
+@query(
+    """SELECT 'all' AS asked, * FROM summed UNION ALL SELECT 'blue', p_partkey, coalesce(records, 0), low, top FROM part LEFT JOIN summed ON product_id = p_partkey WHERE contains(lower(p_brand || ' ' || p_name), 'blue')""",
+    SUMMED,
+)
+def price_summary_asked(m):
+    """Summaries without a text and with one: only the latter has products without records."""
+    return price_summaries(m, None).select(F.lit("all").alias("asked"), "*").unionByName(price_summaries(m, "BLUE").select(F.lit("blue").alias("asked"), "*"))

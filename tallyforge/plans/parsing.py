@@ -98,3 +98,31 @@ def template_scores(m):
     d = m.feed.groupBy(c("id").alias("template_id")).agg(F.count_if(~c("deleted")).alias("hits"), F.count_if("deleted").alias("misses"), F.array_sort(F.collect_list(F.struct("updated_at", "change_id", step.alias("s")))).alias("e"))
     score = F.aggregate("e", F.lit(75), lambda a, x: F.greatest(F.lit(0), F.least(F.lit(100), a + x["s"])))
     return d.select("template_id", "hits", "misses", ((c("misses") >= 3) & (c("hits") == 0)).alias("inactive"), (score / 100).alias("score"))
+
+
+PLAIN = """plain AS (SELECT b.invoice_id AS doc_id, CASE WHEN b.invoice_id % 3 = 0 THEN '' ELSE 'Market ' || b.supplier_name END AS supplier,
+  CASE b.invoice_id % 5 WHEN 0 THEN '' WHEN 1 THEN b.invoice_no WHEN 2 THEN 'B' || b.invoice_id WHEN 3 THEN CAST(b.invoice_id AS VARCHAR) ELSE 'B' || b.invoice_id END AS invoice_no,
+  CASE WHEN b.invoice_id % 7 = 0 THEN 0 WHEN b.invoice_id % 4 = 0 THEN 2 * s.amount ELSE s.amount END AS total, CASE WHEN b.invoice_id % 11 = 0 THEN 0 ELSE s.n END AS n, CASE WHEN b.invoice_id % 11 = 0 THEN 0 ELSE s.amount END AS amount
+  FROM base b JOIN (SELECT invoice_id, SUM(CAST(CAST(list_price AS DECIMAL(18,0)) AS DOUBLE) * 2) AS amount, COUNT(*) AS n FROM items GROUP BY 1) s ON s.invoice_id = b.invoice_id)"""
+
+
+@query(
+    "SELECT doc_id, supplier, invoice_no, CAST(total AS DOUBLE) AS total, CAST(n AS INTEGER) AS n_items, CAST(amount AS DOUBLE) AS items_total, total > 0 AND amount > 0 AND abs(amount - total) / total > 0.05 AS apart, CASE WHEN n > 0 THEN 0.45 ELSE 0.2 END::DOUBLE AS confidence FROM plain",
+    PLAIN,
+)
+def fallback_parse(m):
+    """Texts without a template: supplier, number (hyphens and colons as separators), total, items, and how sure that is."""
+    price = c("list_price").cast("decimal(18,0)")
+    line = F.concat_ws(" ", F.translate("raw_name", "#0123456789", ""), c("quantity").cast("decimal(18,0)").cast("string"), price.cast("string"), (price * 2).cast("string"))
+    i = m.items.groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "item_id", line.alias("t")))).alias("l"), F.sum(price * 2).alias("sum"))
+    k = c("invoice_id")
+    who = F.when(k % 3 == 0, "To whom it concerns").otherwise(F.concat(F.lit("Market "), "supplier_name"))
+    number = (
+        F.when(k % 5 == 0, "Invoice Date").when(k % 5 == 1, F.concat(F.lit("INVOICE # "), "invoice_no")).when(k % 5 == 2, F.concat(F.lit("单号-B"), k.cast("string")))
+        .when(k % 5 == 3, F.concat(F.lit("inv no. "), k.cast("string"), F.lit(" page"))).otherwise(F.concat(F.lit("發 單號：B"), k.cast("string")))
+    )
+    body = F.when(k % 11 == 0, "no goods").otherwise(F.array_join(F.transform("l", lambda x: x["t"]), "\n"))
+    total = F.when(k % 4 == 0, c("sum") * 2).otherwise(c("sum")).cast("string")
+    last = F.when(k % 7 == 0, F.concat(F.lit("Subtotal "), total)).when(k % 2 == 0, F.concat(F.lit("Amount due: $"), total, F.lit("\nTotal tax 12.50"))).otherwise(F.concat(F.lit("合计 "), total))
+    docs = m.base.join(i, "invoice_id").select(k.alias("doc_id"), F.concat_ws("\r\n", who, number, body, last).alias("text"))
+    return X.fallback(docs).select("doc_id", "supplier", "invoice_no", "total", F.size("items").alias("n_items"), "items_total", "apart", "confidence")

@@ -98,6 +98,37 @@ def supplier_suspects(m):
     return first_partner(cut(parties(m)))
 
 
+@query(
+    """SELECT 'same key' AS reason, company_id || '/' || key AS key, string_agg(CAST(supplier_id AS VARCHAR), ',' ORDER BY supplier_id) AS ids FROM parties GROUP BY company_id, key HAVING COUNT(*) > 1
+  UNION ALL SELECT 'repeats itself', CAST(supplier_id AS VARCHAR), CAST(supplier_id AS VARCHAR) FROM suppliers_v WHERE supplier_id % 4 = 0
+  UNION ALL SELECT 'same product', trim(regexp_replace(lower(p_name), '\s*x\s*', 'X', 'g')), string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FROM part GROUP BY 2 HAVING COUNT(*) > 1""",
+    PARTIES,
+)
+def audit_suspect_groups(m):
+    """Suppliers with one key, suppliers whose name of four words or more says itself twice, and products with one normalised name, each group with its ids."""
+    ids = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("ids")
+    s = parties(m).groupBy(F.concat_ws("/", "company_id", "key").alias("key")).agg(F.count("*").alias("n"), ids("supplier_id")).where("n > 1").select(F.lit("same key").alias("reason"), "key", "ids")
+    shown = F.when(c("supplier_id") % 4 == 0, F.concat_ws("  ", "name", "segment", F.lower("name"), "segment")).when(c("supplier_id") % 4 == 1, F.concat_ws(" ", "segment", "segment")).otherwise(c("display_name"))
+    w = F.split(F.upper(F.trim(F.regexp_replace(shown, r"\s+", " "))), " ")
+    half = F.floor(F.size(w) / 2).cast("int")
+    twice = (F.size(w) >= 4) & (F.size(w) % 2 == 0) & (F.slice(w, F.lit(1), half) == F.slice(w, half + 1, half))
+    r = m.suppliers.where(twice).select(F.lit("repeats itself").alias("reason"), c("supplier_id").cast("string").alias("key"), c("supplier_id").cast("string").alias("ids"))
+    p = m.table("part").groupBy(T.product_name(c("p_name")).alias("key")).agg(F.count("*").alias("n"), ids("p_partkey")).where("n > 1").select(F.lit("same product").alias("reason"), "key", "ids")
+    return s.unionByName(r).unionByName(p)
+
+
+TRADE = ("股份有限公司", "有限责任公司", "有限公司", "公司", "股份", "国际", "贸易", "进出口", "商行", "企业", " Trading Co., Ltd.", "")
+
+
+@query("SELECT supplier_id, '大昌' || supplier_id AS key FROM suppliers_v")
+def fn_supplier_norm_trade(m):
+    """Chinese names with every kind of trade ending have one key."""
+    ending = F.lit("")
+    for k, e in enumerate(TRADE):
+        ending = F.when(c("supplier_id") % len(TRADE) == k, F.lit(e)).otherwise(ending)
+    return m.suppliers.select("supplier_id", T.supplier_key(F.concat(F.lit("大昌"), c("supplier_id").cast("string"), ending)).alias("key"))
+
+
 BULK = PARTIES + """, bulk AS (SELECT *, min(supplier_id) OVER (PARTITION BY company_id, key) AS target FROM parties),
 live AS (SELECT * FROM bulk WHERE supplier_id = target)"""
 
