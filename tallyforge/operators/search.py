@@ -15,7 +15,7 @@ RUN = 3
 
 def escaped(x: Column) -> Column:
     """Characters beyond ASCII as ``\\uXXXX``, in two parts where one doesn't hold them."""
-    code = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", "\\\\\\\\u$1")
+    code = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", "\\\\u$1")
     return F.when(x.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.split(x, ""), lambda ch: F.when(ch.rlike("[^\\x00-\\x7F]"), code(ch)).otherwise(ch)), "")).otherwise(x)
 
 

@@ -174,7 +174,7 @@ UNDECIDED, UNSURE_RULE, SURE_RULE = "需要人工确认分摊组", "uncertain: m
 @query(
     f"""SELECT product_id, CASE WHEN ok THEN brand || '|' || norm || '|' || array_to_string(specs, '|') ELSE '' END AS group_key, CASE WHEN ok THEN brand || ' ' || array_to_string(specs, ' ') ELSE '{UNDECIDED}' END AS group_name, CASE WHEN ok THEN '{SURE_RULE}' ELSE '{UNSURE_RULE}' END AS rule FROM (
   SELECT *, brand <> '' AND norm <> '' AND len(specs) > 0 AS ok FROM (SELECT product_id, coalesce(list_filter(string_split_regex(upper(name || tail), '[^A-Z0-9]+'), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]') AND x NOT IN {NO_BRAND})[1], '') AS brand,
-    trim(regexp_replace(regexp_replace(lower(name), '\s*x\s*', 'X', 'g'), '\s+', ' ', 'g')) AS norm,
+    trim(regexp_replace(regexp_replace(lower(name), '\\s*x\\s*', 'X', 'g'), '\\s+', ' ', 'g')) AS norm,
     list_filter([nullif(regexp_extract(upper(name || tail), '{PACKAGES}', 1), ''), coalesce(nullif(regexp_extract(upper(name || tail), '{COUNTED}', 1), ''), nullif(regexp_extract(upper(name || tail), '{SIZED}', 1), ''))], lambda x: x IS NOT NULL) AS specs
     FROM (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 10 = 9 THEN '12' || p_size WHEN p_partkey % 20 = 4 THEN '' ELSE p_brand || ' ' || p_name END AS name,
       CASE p_partkey % 5 WHEN 0 THEN ' can 12x355ml' WHEN 1 THEN ' 24/500ml' WHEN 2 THEN ' jar ' || p_size || 'oz' WHEN 3 THEN ' tinned' ELSE ' 5lb' END AS tail FROM part)))"""

@@ -101,7 +101,7 @@ def supplier_suspects(m):
 @query(
     """SELECT 'same key' AS reason, company_id || '/' || key AS key, string_agg(CAST(supplier_id AS VARCHAR), ',' ORDER BY supplier_id) AS ids FROM parties GROUP BY company_id, key HAVING COUNT(*) > 1
   UNION ALL SELECT 'repeats itself', CAST(supplier_id AS VARCHAR), CAST(supplier_id AS VARCHAR) FROM suppliers_v WHERE supplier_id % 4 = 0
-  UNION ALL SELECT 'same product', trim(regexp_replace(lower(p_name), '\s*x\s*', 'X', 'g')), string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FROM part GROUP BY 2 HAVING COUNT(*) > 1""",
+  UNION ALL SELECT 'same product', trim(regexp_replace(lower(p_name), '\\s*x\\s*', 'X', 'g')), string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FROM part GROUP BY 2 HAVING COUNT(*) > 1""",
     PARTIES,
 )
 def audit_suspect_groups(m):
