@@ -90,20 +90,19 @@ def mixed_documents(documents: DataFrame, seed: int = 1) -> DataFrame:
 
     Only the one document that crosses a source's budget is rounded. As the places follow the hash keys, a
     source's epochs and its last key taken once more decide for every document, so no text is shuffled.
-    Documents with no words or a null doc_id are never taken; equal rows are taken alike.
+    Documents with no words or a null doc_id are never taken, and the latter don't count in their source's target either, so no source
+    comes out short for them; equal rows are taken alike. Columns may have any names.
     """
     columns = documents.columns
-    taken = mix(documents, seed).where("size > 0 and doc_id is not null")
+    named = documents.where("doc_id is not null")
+    taken = mix(named, seed).where("size > 0")
     copies = F.round(F.col("taken") / F.col("size"))
     epochs = F.floor(F.floor("target") / F.col("source_size"))
-    last = (
-        taken.groupBy("source")
-        .agg(F.max(epochs).cast("int").alias("_epochs"), F.max(F.when(copies > epochs, F.xxhash64(F.lit(seed), "doc_id"))).alias("_last"))
-        .withColumnRenamed("source", "_source")
-    )
+    last = taken.groupBy(F.col("source").alias("of")).agg(F.max(epochs).cast("int").alias("epochs"), F.max(F.when(copies > epochs, F.xxhash64(F.lit(seed), "doc_id"))).alias("last"))
     last = F.broadcast(last) if _few(documents.sparkSession, last) else last
-    out = documents.where(F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
-    out = out.join(last, out["source"].eqNullSafe(F.col("_source")))
-    once_more = F.coalesce((F.xxhash64(F.lit(seed), "doc_id") <= F.col("_last")).cast("int"), F.lit(0))
-    out = out.withColumn("_copies", F.col("_epochs") + once_more).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    out = named.where(F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    out = out.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("source"), F.xxhash64(F.lit(seed), "doc_id").alias("key"))
+    out = out.join(last, out["source"].eqNullSafe(F.col("of")))
+    once_more = F.coalesce((F.col("key") <= F.col("last")).cast("int"), F.lit(0))
+    out = out.withColumn("copies", F.col("epochs") + once_more).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -54,3 +54,17 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (1, "a b c", "s")], "doc_id long, text string, source string")
     got = mixing.mix(df).collect()
     assert len(got) == 3 and sum(r.taken for r in got) == 10
+
+
+def test_rows_without_id_leave_no_source_short_and_names_may_clash(spark):
+    rows = [(None if k % 3 == 0 else k, f"word{k} " * (1 + k % 7), "ab"[k % 2], k, "x") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long, row string")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= {r for r in rows if r[0] is not None}
+    size = defaultdict(int)
+    for i, t, s, *_ in rows:
+        size[s] += len(t.split()) if i is not None else 0
+    for s, wanted in targets(size).items():
+        assert abs(sum(len(t.split()) for _, t, x, *_ in got if x == s) - wanted) <= 7

@@ -39,7 +39,7 @@ def test_empty_table(spark):
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(re.match(r"op(\d+)_", k)[1]) for k in Q.queries())
-    assert numbers == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_exact_search_equals_its_sql(spark):
