@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import details, feeds, ledger, lookups, matching, parsing, prices, records, registry, reports, saves, suppliers, templates, texts, upkeep  # noqa: F401
+from tallyforge.plans import details, feeds, ledger, lookups, matching, parsing, prices, recognised, records, registry, reports, saves, suppliers, templates, texts, upkeep  # noqa: F401
 
 
 def queries() -> dict:

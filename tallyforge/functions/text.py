@@ -43,16 +43,26 @@ def unit_text(x: Column) -> Column:
     return F.regexp_replace(x, rf"(?i)(\d+)\s*/\s*(\d+(?:\.\d+)?)\s*({UNITS}){end}", "$1/$2$3")
 
 
+#: Names that are often read wrongly, as patterns, and what they are.
+CORRECTIONS = (("干页豆腐|仟页豆腐", "千页豆腐"), ("龍眼", "龙眼"), ("鳳梨", "凤梨"), ("蘋果", "苹果"), (r"(?i)(?<![A-Za-z0-9_])ITO\s+EN(?![A-Za-z0-9_])", "ITOEN"), (r"(?i)(?<![A-Za-z0-9_])I\s*T\s*O\s*E\s*N(?![A-Za-z0-9_])", "ITOEN"))
+
+
+def corrected(x: Column, corrections=CORRECTIONS) -> Column:
+    for pattern, name in corrections:
+        x = F.regexp_replace(x, pattern, name)
+    return x
+
+
 def product_name(x: Column) -> Column:
     """The key of a product. Every letter x becomes X and swallows the blanks around it; keys depend on that."""
-    x = F.lower(unit_text(simplify(F.trim(x))))
+    x = F.lower(unit_text(corrected(simplify(F.trim(x)))))
     x = F.regexp_replace(x, r"""[，,。；;：:｜|()\[\]{}【】"'“”‘’]""", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"\s*[xX]\s*", "X"), r"\s*/\s*", "/")
     return F.trim(F.regexp_replace(F.translate(x, "　", " "), r"\s+", " "))
 
 
 def product_name_local(x: Column) -> Column:
-    x = F.lower(unit_text(F.trim(x)))
+    x = F.lower(unit_text(corrected(F.trim(x), CORRECTIONS[:-1])))
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"""[，,。；;：:|()\[\]"']""", " "), r"\s+", " "))
 
 
