@@ -57,22 +57,25 @@ def ship(spark: SparkSession) -> None:
     sc._tallyforge_shipped = True
 
 
-#: Rows of a table of remainders.
-REMAINDERS = 1 << 20
+#: Rows of a table of bits, and bits of a row.
+WORDS, BITS = 1 << 19, 64
 
 
 def near_rows(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` that may have a partner in ``keys`` (column id), and rows that surely have none.
 
-    The test is the remainder of the key, so what is broadcast never has more than REMAINDERS rows; the
-    rows without a partner stay out of the shuffle of a join. With as many keys as remainders the test still keeps a third of
-    them out; beyond that it tells little: then every row may have a partner, and nothing is broadcast. A null key has no partner.
+    The test is a bit for each remainder of the key, 64 to a row, so what is broadcast never has more than WORDS rows, whatever the number of
+    keys; the rows without a partner stay out of the shuffle of a join. A million keys set 3 of 100 bits, 16 million 39; where all would be
+    set, every row may have a partner, and nothing is broadcast. A null key has no partner.
     """
-    if keys.count() > REMAINDERS:
+    if keys.count() > WORDS * BITS:
         return df, df.where(F.lit(False))
-    rest = F.broadcast(keys.select(F.pmod("id", F.lit(REMAINDERS)).alias("_rest")).distinct())
-    row = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), F.pmod(key, F.lit(REMAINDERS)).alias("_rest"))
-    near, far = row.join(rest, "_rest", "left_semi"), row.join(rest, "_rest", "left_anti")
+    place = lambda k: F.pmod(k, F.lit(WORDS * BITS).cast("long"))
+    word, bit = F.expr("shiftright(_place, 6)"), F.expr("shiftleft(1L, cast(_place & 63L as int))")
+    marks = keys.where("id is not null").select(place(F.col("id")).alias("_place")).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    row = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row"), place(key).alias("_place")).select("_row", word.alias("_own"), bit.alias("_bit"))
+    hit = (F.col("_own") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    near, far = row.join(F.broadcast(marks), hit, "left_semi"), row.join(F.broadcast(marks), hit, "left_anti")
     return near.select("_row.*"), far.select("_row.*")
 
 
