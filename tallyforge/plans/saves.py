@@ -13,7 +13,7 @@ c = F.col
 #: Every third invoice is saved now; every sixth was stored before, and so were those that aren't saved now.
 BATCH = r"""asked AS (SELECT invoice_id, company_id, supplier_id, invoice_date, CASE WHEN invoice_id % 9 = 0 THEN 0 ELSE total_amount END AS given, CASE invoice_id % 4 WHEN 0 THEN 'saved' WHEN 1 THEN 'CONFIRMED' WHEN 2 THEN '' ELSE 'PENDING_REVIEW' END AS asked_status,
     CASE WHEN invoice_id % 15 = 0 THEN 'low light' ELSE '' END AS payload, duplicate_status AS duplicate, invoice_id % 46 = 0 AS force FROM invoices WHERE invoice_id % 3 = 0),
-named AS (SELECT *, supplier_id AS seller, CASE WHEN line_no = 6 THEN ' Memo ' ELSE raw_name END AS line_name, unit_price AS price, line_no <> 5 AS trusted FROM items),
+named AS (SELECT *, supplier_id % 5 AS seller, brand AS family, CASE WHEN line_no = 6 THEN ' Memo ' ELSE raw_name END AS line_name, unit_price AS price, line_no <> 5 AS trusted FROM items),
 sub AS (SELECT invoice_id, SUM(CASE WHEN NOT candidate_only THEN total ELSE 0 END) AS subtotal, SUM(total) AS all_lines, COUNT(*) FILTER (NOT candidate_only AND lower(trim(line_name)) NOT IN ('', 'remark', 'remarks', 'note', 'notes', 'memo', 'subtotal', 'total')) AS goods FROM named GROUP BY 1),
 measured AS (SELECT a.*, coalesce(subtotal, 0) AS subtotal, coalesce(goods, 0) AS goods, CASE WHEN given > 0 THEN given ELSE coalesce(all_lines, 0) END AS total_amount,
     abs(CAST(CASE WHEN given > 0 THEN given ELSE coalesce(all_lines, 0) END - coalesce(subtotal, 0) - coalesce(d.amount, 0) AS DOUBLE)) AS difference FROM asked a LEFT JOIN sub s ON s.invoice_id = a.invoice_id LEFT JOIN discounts d ON d.invoice_id = a.invoice_id),
@@ -22,7 +22,7 @@ marked AS (SELECT *, CASE WHEN duplicate = 'duplicate' AND NOT force THEN 'block
 saved_v AS (SELECT *, CASE WHEN outcome <> 'blocked' THEN CASE WHEN len(found) > 0 THEN 'PENDING_REVIEW' WHEN asked_status IN ('', 'saved', 'PENDING_REVIEW') THEN 'APPROVED' ELSE asked_status END END AS new_status,
     CASE WHEN outcome <> 'blocked' THEN array_to_string(list_filter(list_concat([payload], found, [CASE WHEN difference > 0.05 THEN 'totalDifference=' || CAST(CAST(difference AS DECIMAL(18,4)) AS DECIMAL(18,2)) ELSE '' END]), lambda x: x <> ''), ' | ') END AS text FROM marked),
 priced AS (SELECT n.*, v.company_id, v.supplier_id AS owner, v.invoice_date FROM named n JOIN saved_v v ON v.invoice_id = n.invoice_id WHERE v.new_status IN ('APPROVED', 'CONFIRMED') AND NOT is_free AND NOT candidate_only AND trusted AND quantity > 0 AND price > 0 AND n.total > 0 AND lower(trim(line_name)) NOT IN ('', 'remark', 'remarks', 'note', 'notes', 'memo', 'comment')),
-history AS (SELECT n.item_id, n.invoice_id, b.company_id, b.supplier_id AS owner, n.seller, n.product_id, n.line_name, n.price FROM named n JOIN base b ON b.invoice_id = n.invoice_id WHERE (b.invoice_id % 3 <> 0 OR b.invoice_id % 6 = 0) AND b.status = 'APPROVED' AND NOT is_free AND price > 0),
+history AS (SELECT n.item_id, n.invoice_id, b.company_id, b.supplier_id AS owner, n.seller, n.family, n.line_name, n.price FROM named n JOIN base b ON b.invoice_id = n.invoice_id WHERE (b.invoice_id % 3 <> 0 OR b.invoice_id % 6 = 0) AND b.status = 'APPROVED' AND NOT is_free AND price > 0),
 kept AS (SELECT * FROM history WHERE invoice_id NOT IN (SELECT invoice_id FROM saved_v WHERE outcome <> 'blocked'))"""
 
 
@@ -34,7 +34,7 @@ def batch(m) -> tuple[DataFrame, DataFrame]:
         F.when(k % 4 == 0, "saved").when(k % 4 == 1, "CONFIRMED").when(k % 4 == 2, "").otherwise("PENDING_REVIEW").alias("status"),
         F.when(k % 15 == 0, "low light").otherwise("").alias("warnings"), c("duplicate_status").alias("duplicate"), (k % 46 == 0).alias("force"),
     )
-    lines = m.items.select("item_id", "invoice_id", "line_no", "product_id", c("supplier_id").alias("seller"), "quantity", "total", "is_free", "candidate_only", c("unit_price").alias("price"), (c("line_no") != 5).alias("trusted"), F.when(c("line_no") == 6, " Memo ").otherwise(c("raw_name")).alias("name"))
+    lines = m.items.select("item_id", "invoice_id", "line_no", "product_id", (c("supplier_id") % 5).alias("seller"), c("brand").alias("family"), "quantity", "total", "is_free", "candidate_only", c("unit_price").alias("price"), (c("line_no") != 5).alias("trusted"), F.when(c("line_no") == 6, " Memo ").otherwise(c("raw_name")).alias("name"))
     return S.saved(asked, lines, m.discounts), lines
 
 
@@ -88,17 +88,17 @@ def save_rule_rows(m):
 
 @query(
     """SELECT item_id, price, mean, abs(price - mean) / mean AS deviation FROM (SELECT p.item_id, p.price, (coalesce(h.total, 0) + coalesce(p.before, 0))::DOUBLE / nullif(coalesce(h.n, 0) + p.n_before, 0) / 10000 AS mean
-  FROM (SELECT *, COUNT(*) OVER w AS n_before, SUM(CAST(floor(price * 10000) AS BIGINT)) OVER w AS before FROM priced WINDOW w AS (PARTITION BY company_id, seller, product_id ORDER BY invoice_date, invoice_id, line_no, item_id, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) p
-  LEFT JOIN (SELECT company_id, seller, product_id, COUNT(*) AS n, SUM(CAST(floor(price * 10000) AS BIGINT)) AS total FROM kept GROUP BY 1, 2, 3) h ON h.company_id = p.company_id AND h.seller = p.seller AND h.product_id = p.product_id)
+  FROM (SELECT *, COUNT(*) OVER w AS n_before, SUM(CAST(floor(price * 10000) AS BIGINT)) OVER w AS before FROM priced WINDOW w AS (PARTITION BY company_id, seller, family ORDER BY invoice_date, invoice_id, line_no, item_id, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) p
+  LEFT JOIN (SELECT company_id, seller, family, COUNT(*) AS n, SUM(CAST(floor(price * 10000) AS BIGINT)) AS total FROM kept GROUP BY 1, 2, 3) h ON h.company_id = p.company_id AND h.seller = p.seller AND h.family = p.family)
   WHERE mean > 0 AND abs(price - mean) / mean > 0.30""",
     BATCH,
 )
 def save_anomaly_rows(m):
-    """The prices of the batch that are far from the mean of what is stored and of what came before them."""
+    """The prices of the batch that are far from the mean of what is stored and of what came before them, by company, seller and family of products (the tables repeat a product too rarely)."""
     saved, lines = batch(m)
     old = history(m, lines)
     old = old.join(saved.where("outcome <> 'blocked'").select("invoice_id"), "invoice_id", "left_anti")
-    return S.anomalies(old, new_prices(saved, lines), ["company_id", "seller", "product_id"], ["invoice_date", "invoice_id", "line_no", "item_id", "price"]).select("item_id", "price", "mean", "deviation")
+    return S.anomalies(old, new_prices(saved, lines), ["company_id", "seller", "family"], ["invoice_date", "invoice_id", "line_no", "item_id", "price"]).select("item_id", "price", "mean", "deviation")
 
 
 @query(
