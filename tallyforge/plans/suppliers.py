@@ -230,6 +230,7 @@ def resolved(asked: DataFrame, known: DataFrame) -> DataFrame:
     first supplier with this name, display name or key, or with it within the text of its aliases; else the first with an alike key; else it is new.
     """
     scope = ["company_id"]
+    asked, known = cut(asked), cut(known)  # every step reads both
     by = lambda column, value: asked.select(*scope, "entry", c(column).alias("v")).join(known.select(*scope, c(value).alias("v"), "supplier_id"), [*scope, "v"])
     inside = J.containing(asked, "name", known, "aliases", scope)
     by_alias = asked.select(*scope, "entry", c("name").alias("needle")).join(inside, [*scope, "needle"]).join(known.select(*scope, c("aliases").alias("text"), "supplier_id"), [*scope, "text"])
@@ -237,7 +238,7 @@ def resolved(asked: DataFrame, known: DataFrame) -> DataFrame:
     exact = hits[0].select(*scope, "entry", "supplier_id")
     for h in hits[1:]:
         exact = exact.unionByName(h.select(*scope, "entry", "supplier_id"))
-    exact = exact.groupBy(*scope, "entry").agg(F.min("supplier_id").alias("exact"))
+    exact = cut(exact.groupBy(*scope, "entry").agg(F.min("supplier_id").alias("exact")))
     left = asked.join(exact, [*scope, "entry"], "left_anti")
     near = J.similar(left, "key", known, "key", scope, ALIKE)
     first = known.groupBy(*scope, c("key").alias("b")).agg(F.min("supplier_id").alias("supplier_id"))
