@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ship
+from tallyforge.llm.common import release, ship
 
 #: Bounds of the labelled sample: languages (those with most labelled rows), documents per language, symbols from each (of a window of so many
 #: characters anywhere in its text), symbols per language and in all.
@@ -301,4 +301,7 @@ def accepted(documents: DataFrame) -> DataFrame:
     model = fit(documents)
     if not model.languages:
         return documents.where(F.col("text").rlike(r"\p{L}"))
-    return judged(documents, model).where("language.lang_pred <> 'und'").select("row.*")
+    out = judged(documents, model).where("language.lang_pred <> 'und'").select("row.*")
+    del model
+    release()  # what the fit has used on the driver goes back before the next stage
+    return out
