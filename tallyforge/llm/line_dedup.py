@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import cut, near_rows, stored
-from tallyforge.llm.graph import components
+from tallyforge.llm.graph import components, shortened
 
 #: A shingle is so many characters of a line, from each of its characters on; a shorter line is one shingle.
 SHINGLE = 5
-#: Bands and MinHash values of a band. At similarity 0.8 a pair of long lines shares a band with probability 0.998.
+#: Bands and hashes of a band. At similarity 0.8 a pair of lines shares a band with probability 0.999.
 BANDS, ROWS = 20, 6
 #: Lines of a block of a bucket.
 BLOCK = 1024
 #: Words of 64 bits in a line's bitmap.
 WORDS = 32
+#: Rounds that join the lines of the first links. Where more were needed, some lines are compared that are joined already.
+SHORTENED = 3
 #: Lines link from this similarity on.
 SIMILARITY = 0.8
 
-#: Points at even distances on the circle of 64-bit hashes. The MinHash value of a point is the first shingle hash from it on, which is any
-#: shingle of a line with equal probability. Bands take points by chance. A point is looked for in its arc of the circle only.
-_POINTS = [(k * (1 << 64) // (BANDS * ROWS)) - (1 << 63) + 1 for k in range(BANDS * ROWS)]
-_DEALT = random.Random(7).sample(range(BANDS * ROWS), BANDS * ROWS)
-_ARC = 10
+#: Points at even distances on the circle of 64-bit hashes. A band is the hashes that follow its point.
+_POINTS = [(k * (1 << 64) // BANDS) - (1 << 63) + 1 for k in range(BANDS)]
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -40,7 +37,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _shingles(line: Column) -> Column:
-    """The distinct shingles of a line, as sorted hashes.
+    """The distinct shingles of a line, as hashes.
 
     The line is coded in four bytes a character, so that a shingle is found without walking through the line; the array of one element
     gives the coded line a name, or it would be coded again for each shingle.
@@ -50,33 +47,22 @@ def _shingles(line: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(coded) - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
         return F.transform(starts, lambda k: F.xxhash64(F.substring(coded, k, F.lit(4 * SHINGLE))))
 
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), hashes))))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), hashes)))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
     """(band, id, n) of lines (id, line): the key of each band of each line, and its number of shingles.
 
-    Among the sorted hashes of a line and the points, the place of a point tells the hash that follows it.
+    The hashes of a line and the points lie on one circle. A band's key is the next ROWS places from its point on: the least hashes in the order that
+    begins there, which two lines share if the least of all their shingles are common ones. Where a line has few shingles, other points are among the
+    places, so a band of a short line has fewer hashes.
     """
-    s = lines.select("id", _shingles(F.col("line")).alias("a"))
     points = F.array(*[F.lit(p) for p in _POINTS])
-    s = s.select("id", F.concat("a", F.slice("a", 1, 1)).alias("a"), F.size("a").alias("n"), F.sort_array(F.concat("a", points)).alias("among"))
-    starts = [F.array_position("among", F.lit(p)).cast("int") for p in _POINTS[::_ARC]]
-    s = s.select("id", "n", "a", "among", F.array(*starts, F.size("among") + 1).alias("starts"))
-    s = s.select("id", "n", "a", "among", "starts", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
-    numbers = [F.array(*[F.lit(k) for k in _DEALT[r::ROWS]]) for r in range(ROWS)]
-    arcs = [F.array(*[F.lit(k // _ARC) for k in _DEALT[r::ROWS]]) for r in range(ROWS)]
-    values = [F.array(*[F.lit(_POINTS[k]) for k in _DEALT[r::ROWS]]) for r in range(ROWS)]
-
-    def value(r: int) -> Column:
-        number = F.get(numbers[r], F.col("b"))
-        arc = F.get(arcs[r], F.col("b"))
-        start = F.get("starts", arc)
-        near = F.slice("among", start, F.get("starts", arc + 1) - start)
-        # less the points before it, so many hashes stand before the point; beyond the last the first comes again
-        return F.element_at("a", F.array_position(near, F.get(values[r], F.col("b"))).cast("int") + start - 1 - number)
-
-    return s.select(F.xxhash64("b", *[value(r) for r in range(ROWS)]).alias("band"), "id", "n")
+    s = lines.select("id", _shingles(F.col("line")).alias("a"))
+    s = s.select("id", F.size("a").alias("n"), F.sort_array(F.concat("a", points)).alias("a"))
+    s = s.select("id", "n", F.concat("a", F.slice("a", 1, ROWS)).alias("a"), F.explode(points).alias("point"))
+    places = F.slice("a", F.array_position("a", F.col("point")).cast("int") + 1, F.lit(ROWS))
+    return s.select(F.xxhash64("point", places).alias("band"), "id", "n")
 
 
 def _alike_in_size(n: Column, m: Column) -> Column:
@@ -104,25 +90,27 @@ def _candidates(members: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(id, s0, s1, ...): a bitmap of 64 * WORDS bits for each line, in which each shingle sets one."""
+    """(id, ones, s0, s1, ...): a bitmap of 64 * WORDS bits for each line, in which each shingle sets one, and its number of ones."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("coded") - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
     h = texts.select("id", F.encode("line", "UTF-32").alias("coded")).select("id", "coded", F.explode(starts).alias("k"))
     h = h.select("id", F.xxhash64(F.substring("coded", F.col("k"), F.lit(4 * SHINGLE))).alias("h"))
     h = h.select("id", F.pmod(F.shiftright("h", 6), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    return h.groupBy("id").agg(*[F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(WORDS)])
+    h = h.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"s{k}") for k in range(WORDS)]
+    return h.groupBy("id").agg(F.sum(F.bit_count("bits")).cast("int").alias("ones"), *words)
 
 
 def _may_reach() -> Column:
-    """Whether the sets of x and y, by their bitmaps, may reach the similarity: a bit of one that the other lacks stands for a shingle it lacks."""
+    """Whether the sets of x and y, by their bitmaps, may reach the similarity: a bit of one that the other lacks stands for a shingle it lacks.
 
-    def reaches(p: str, q: str) -> Column:
-        lacking = F.lit(0)
-        for k in range(WORDS):
-            lacking = lacking + F.bit_count(F.col(f"{p}.s{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.s{k}"))))
-        # so many shingles in common at most, against what the similarity asks for
-        return (F.col(f"{p}.n") - lacking) * (1 + SIMILARITY) >= SIMILARITY * (F.col("x.n") + F.col("y.n")) - 1e-6
-
-    return reaches("x", "y") & reaches("y", "x")
+    The common bits are counted once for both; twice as long an expression isn't compiled any more.
+    """
+    common = F.lit(0)
+    for k in range(WORDS):
+        common = common + F.bit_count(F.col(f"x.s{k}").bitwiseAND(F.col(f"y.s{k}")))
+    # so many shingles in common at most, against what the similarity asks for
+    most = common + F.least(F.col("x.n") - F.col("x.ones"), F.col("y.n") - F.col("y.ones"))
+    return most * (1 + SIMILARITY) >= SIMILARITY * (F.col("x.n") + F.col("y.n")) - 1e-6
 
 
 def _apart(members: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
@@ -140,7 +128,7 @@ def _apart(members: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame
     m = m.join(mixed, "band")
     sketches = stored(_sketches(texts.join(m.select("id").distinct(), "id", "left_semi")), "line-sketches")
     m = m.join(sketches, "id")
-    marks = [f"s{k}" for k in range(WORDS)]
+    marks = ["ones", *[f"s{k}" for k in range(WORDS)]]
     few = m.where("c <> largest").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     every = m.withColumn("p", F.pmod(F.xxhash64("id"), F.col("blocks")))
     x, y = few.select("band", "p", "id", "c", "n", *marks).alias("x"), every.select("band", "p", "id", "c", "n", *marks).alias("y")
@@ -159,19 +147,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.where(F.col("common") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
-def line_components(lines: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(id, component) of the lines that have a near copy, of distinct lines (id, line); for weights see :func:`_candidates`."""
+def line_components(lines: DataFrame, weights: DataFrame | None = None, again: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the lines that have a near copy, of distinct lines (id, line); for weights see :func:`_candidates`.
+
+    again: the same lines, but possibly several times each, where they are cheaper to read like that.
+    """
     members = _members(lines)
     if weights is None:
         weights = members.limit(0).select("id", F.lit(1).alias("copies"))
     pairs = stored(_candidates(members, weights), "line-candidates")
     ids = members.select("id").distinct()
-    maybe, _ = near_rows(lines, F.col("id"), ids)
+    maybe, _ = near_rows(lines if again is None else again, F.col("id"), ids)
     # the lines that share a bucket
-    texts = stored(maybe.join(ids, "id", "left_semi").select("id", "line"), "line-texts")
-    first = cut(_verified(pairs, texts))
-    rest = stored(_apart(members, cut(components(first)), texts).join(pairs, ["a", "b"], "left_anti"), "line-rest")
-    return components(first.union(_verified(rest, texts)))
+    texts = stored(maybe.join(ids, "id", "left_semi").select("id", "line").dropDuplicates(["id"]), "line-texts")
+    links, _ = shortened(_verified(pairs, texts), SHORTENED)
+    joined = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    rest = stored(_apart(members, joined, texts).join(pairs, ["a", "b"], "left_anti"), "line-rest")
+    return components(links.union(_verified(rest, texts)))
 
 
 def _struck(lost: DataFrame) -> DataFrame:
@@ -194,27 +186,19 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     lines = stored(_lines(rows).select("doc_id", "key", "pos", F.xxhash64("line").alias("id")), "line-ids")
     place = F.struct("doc_id", "key", "pos")
     facts = stored(lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-facts")
-    repeated = facts.where("n > 1").select("id", "first")
-    maybe, _ = near_rows(lines, F.col("id"), repeated)
-    again = maybe.join(repeated, "id").where(~place.eqNullSafe(F.col("first")))
-    strike = stored(_struck(again.select("key", "pos").distinct()), "line-repeats")
-    # the texts without the lines that also stand before: each line once
-    copies = lines.groupBy("key", "pos").agg(F.count("*").alias("n")).where("n > 1").select("key").distinct()
-    maybe, single = near_rows(rows, F.col("key"), copies.withColumnRenamed("key", "id"))
-    rows = single.union(maybe.join(copies, "key", "left_anti")).union(maybe.join(copies, "key", "left_semi").dropDuplicates(["key"]))
-    maybe, sure = near_rows(rows, F.col("key"), strike)
-    hit = maybe.join(strike.withColumnRenamed("id", "key"), "key", "left")
-    hit = hit.select("key", "doc_id", F.array_join(_without(F.col("text"), F.col("drop")), "\n").alias("text"))
-    distinct = _lines(sure.union(hit)).select(F.xxhash64("line").alias("id"), "line")
-
-    groups = cut(line_components(distinct, facts.where("n > 1").select("id", F.col("n").alias("copies"))))
+    # a line that stands once is read where it stands; only the others are collapsed
+    every = _lines(rows).select(F.xxhash64("line").alias("id"), "line")
+    repeated = facts.where("n > 1").select("id", F.col("n").alias("copies"), "first")
+    maybe, single = near_rows(every, F.col("id"), repeated)
+    distinct = single.union(maybe.dropDuplicates(["id"]))
+
+    groups = cut(line_components(distinct, repeated.select("id", "copies"), every))
     placed = facts.join(groups, "id").select("id", "first", "component")
-    low = placed.groupBy("component").agg(F.min("first").alias("first"))
-    fuzzy = placed.select("id", "component").join(low, "component").select("id", "first")
-    fuzzy = stored(fuzzy, "line-groups")
-    maybe, _ = near_rows(lines, F.col("id"), fuzzy)
-    more = maybe.join(fuzzy, "id").where(~place.eqNullSafe(F.col("first"))).select("key", "pos")
-    return _struck(more.union(strike.select(F.col("id").alias("key"), F.explode("drop").alias("pos"))).distinct())
+    low = placed.groupBy("component").agg(F.min("first").alias("least"))
+    fuzzy = placed.join(low, "component").select("id", F.col("least").alias("first"))
+    keep = stored(repeated.join(groups, "id", "left_anti").select("id", "first").union(fuzzy), "line-groups")
+    maybe, _ = near_rows(lines, F.col("id"), keep)
+    return _struck(maybe.join(keep, "id").where(~place.eqNullSafe(F.col("first"))).select("key", "pos").distinct())
 
 
 def _marked(rows: DataFrame) -> DataFrame:
