@@ -35,3 +35,17 @@ def test_stars_take_no_round(spark, monkeypatch):
     df = spark.createDataFrame([(k, k % 7) for k in range(7, 60)] + [(8, 8), (9, 2), (None, 3)], "a long, b long")
     assert {r.id: r.component for r in graph.components(df).collect()} == {k: k % 7 for k in range(60)}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_a_round_is_a_shuffle_for_each_operation_unless_there_are_hubs(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 130)] + [(129, 200), (200, 201)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    links, most, settled = graph._shape(df.selectExpr("greatest(a, b) a", "least(a, b) b"))
+    assert (links, most, settled) == (len(edges), 29, False)
+    plan = graph._round(df, links, most)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastExchange" not in plan
+    # with hubs the same components
+    plain = {r.id: r.component for r in graph.components(df).collect()}
+    monkeypatch.setattr(graph, "HUB_LINKS", 3)
+    monkeypatch.setattr(graph, "HUBS", 1000)
+    assert plain == roots(edges) == {r.id: r.component for r in graph.components(df).collect()}
