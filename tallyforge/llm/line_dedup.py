@@ -138,10 +138,9 @@ def _apart(members: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose sets of shingles reach the similarity. The set of a ``b`` is made once, as many pairs may share it."""
+    """The pairs whose sets of shingles reach the similarity. Both sides read the same columns, so that the lines are dealt out once."""
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    shared = pairs.select(F.col("b").alias("id")).distinct()
-    b = texts.join(shared, "id", "left_semi").select(F.col("id").alias("b"), F.col("line").alias("y"))
+    b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     met = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y"))
     met = met.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
     return met.where(F.col("common") >= SIMILARITY * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
@@ -156,7 +155,7 @@ def line_components(lines: DataFrame, weights: DataFrame | None = None, again: D
     if weights is None:
         weights = members.limit(0).select("id", F.lit(1).alias("copies"))
     pairs = stored(_candidates(members, weights), "line-candidates")
-    ids = members.select("id").distinct()
+    ids = stored(members.select("id").distinct(), "line-member-ids")
     maybe, _ = near_rows(lines if again is None else again, F.col("id"), ids)
     # the lines that share a bucket
     texts = stored(maybe.join(ids, "id", "left_semi").select("id", "line").dropDuplicates(["id"]), "line-texts")

@@ -73,3 +73,18 @@ def test_lines_joined_in_no_round_are_compared(spark, monkeypatch):
     few = kept(spark, lines)
     monkeypatch.setattr(line_dedup, "SHORTENED", 0)
     assert kept(spark, lines) == few
+
+
+def test_lines_are_dealt_out_once_for_both_sides_of_their_pairs(spark, tmp_path):
+    rows = [(i, "one and the same line of text %s" % ("abc"[: i % 4])) for i in range(8)]
+    spark.createDataFrame(rows, "id long, line string").write.parquet(f"{tmp_path}/texts")
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(a)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = line_dedup._verified(pairs, spark.read.parquet(f"{tmp_path}/texts"))
+        assert met.count() and {(r.a, r.b) for r in met.collect()} >= {(4, 0), (5, 1)}
+        plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Scan parquet") == 1 and "ReusedExchange" in plan
