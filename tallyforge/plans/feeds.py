@@ -40,8 +40,10 @@ def stream_push_versions(m):
     folder = shared_folder(m.spark)
     table = S.LayeredTable(m.spark, folder + "/state")
     changes = m.feed.select("id", "change_id", "updated_at", (c("change_id") % ARRIVALS * 10**12 + c("change_id")).alias("arrival"))
-    for k in range(ARRIVALS):  # each part comes after the last run has ended; a run takes all that is new as one batch
-        changes.where(c("change_id") % ARRIVALS == k).write.mode("append").parquet(folder + "/in")
+    part = c("change_id") % ARRIVALS
+    parts = sorted((r.part for r in changes.select(part.alias("part")).distinct().collect()), key=lambda k: (k is None, k or 0))  # below 0 for such ids, null comes last
+    for k in parts:  # each part comes after the last run has ended; a run takes all that is new as one batch
+        changes.where(part.eqNullSafe(F.lit(k))).write.mode("append").parquet(folder + "/in")
         S.run(S.read_stream(m.spark, folder + "/in", changes.schema, 1 << 20), S.push_versions(table), folder + "/checkpoint")
     return table.read().select("id", "version", "conflicts", "change_id")
 

@@ -101,9 +101,10 @@ class LayeredTable:
         rows = None
         for span in spans:
             d = self.spark.read.parquet(f"{self.path}/l{span[0]}-{span[1]}").withColumn("_layer", F.lit(span[1]))
-            if keys is not None:
-                d = d.join(keys.select(self.key).distinct(), self.key, "left_semi")
             rows = d if rows is None else rows.unionByName(d)
+        if keys is not None:  # after the union: Spark takes a union of joins by key for dealt by key, and then leaves layers apart
+            k = keys.select(c(self.key).alias("_key")).distinct()
+            rows = rows.join(k, c(self.key).eqNullSafe(c("_key")), "left_semi")
         columns = [k for k in rows.columns if k != "_layer"]
         return rows.groupBy(self.key).agg(F.max_by(F.struct(*columns), "_layer").alias("_r")).select("_r.*")
 
@@ -147,7 +148,7 @@ def push_versions(table: VersionedTable | LayeredTable) -> Callable[[DataFrame,
     """A batch function for pushed changes (id, arrival, change_id, updated_at).
 
     A change that is older than what is stored is a conflict and changes nothing; any other replaces the row and raises its
-    version by one. The changes of a batch count in the order of their arrival.
+    version by one. The changes of a batch count in the order of their arrival. A change without a time is never older; ``updated_at`` is the latest time so far.
     """
     columns = ("id", "change_id", "updated_at", "version", "conflicts")
 
@@ -155,16 +156,17 @@ def push_versions(table: VersionedTable | LayeredTable) -> Callable[[DataFrame,
         stored = table.read(before=n, keys=batch)
         if stored is None:
             stored = batch.limit(0).selectExpr("id", "change_id", "updated_at", "cast(0 as bigint) as version", "cast(0 as bigint) as conflicts")
-        stored = stored.select(c("id"), *[c(k).alias(f"old_{k}") for k in columns[1:]])
+        stored = stored.select(c("id").alias("old_id"), *[c(k).alias(f"old_{k}") for k in columns[1:]])
+        same = c("id").eqNullSafe(c("old_id"))
         w = Window.partitionBy("id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
         before = F.greatest(F.max("updated_at").over(w), c("old_updated_at"))
-        d = batch.join(stored.select("id", "old_updated_at"), "id", "left").withColumn("ok", F.coalesce(c("updated_at") >= before, F.lit(True)))
-        last = F.max_by(F.struct("change_id", "updated_at"), F.when(c("ok"), c("arrival")))
-        d = d.groupBy("id").agg(F.count_if("ok").alias("taken"), F.count_if(~c("ok")).alias("refused"), last.alias("last")).join(stored, "id", "full_outer")
+        d = batch.join(stored.select("old_id", "old_updated_at"), same, "left").withColumn("ok", F.coalesce(c("updated_at") >= before, F.lit(True)))
+        last, there = F.max_by("change_id", F.when(c("ok"), c("arrival"))), F.lit(True).alias("there")
+        d = d.groupBy("id").agg(F.count_if("ok").alias("taken"), F.count_if(~c("ok")).alias("refused"), last.alias("last"), F.max("updated_at").alias("latest"), there).join(stored, same, "full_outer")
         zero = F.lit(0).cast("bigint")
         add = lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero)
-        new = [F.coalesce(f"last.{k}", f"old_{k}").alias(k) for k in ("change_id", "updated_at")]
-        table.write(d.select("id", *new, add(c("old_version"), c("taken")).alias("version"), add(c("old_conflicts"), c("refused")).alias("conflicts")), n)
+        new = [F.when(c("there"), c("id")).otherwise(c("old_id")).alias("id"), F.coalesce("last", "old_change_id").alias("change_id"), F.greatest("latest", "old_updated_at").alias("updated_at")]
+        table.write(d.select(*new, add(c("old_version"), c("taken")).alias("version"), add(c("old_conflicts"), c("refused")).alias("conflicts")), n)
 
     return work
 

@@ -88,3 +88,37 @@ def test_prices_in_any_order_over_batches_equal_the_batch_query(spark, tmp_path)
         S.run(d, lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/b={n}"), f"{tmp_path}/checkpoint")
     got = sorted((r.item_id, round(r.price, 9), round(r.prior, 9)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == expected and expected
+
+
+def test_layers_of_many_files_meet_by_key(spark, tmp_path):
+    """Layers dealt alike and read for the keys of a batch give one row a key, whatever the sizes of their parts; null keys too."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = S.LayeredTable(spark, str(tmp_path))
+        keys = spark.range(0, 1500, 1, 6).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))
+        for n, wide in enumerate((1, 200)):
+            table.write(keys.repartition(6).withColumn("v", F.repeat(F.md5(F.col("id").cast("string")), wide)), n)
+        got = table.read(before=2, keys=keys.union(keys))
+        assert got.count() == 1500 and {r[0] for r in got.select(F.length("v")).where("id is not null").distinct().collect()} == {32 * 200}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_pushed_changes_without_id_or_time_and_with_ids_below_zero(spark, tmp_path):
+    """Null and negative ids, null times and many input files give the rows of the query's SQL."""
+    import duckdb
+
+    from tallyforge import catalog
+
+    rows = spark.range(-3000, 3000, 1, 6).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(100000)))
+    ts = F.when(F.col("h") % 11 != 0, F.timestamp_seconds(F.col("h")).cast("timestamp_ntz"))
+    rows.select(F.col("id").alias("event_id"), ts.alias("ts"), F.when(F.col("h") % 40 > 0, F.col("h") % 40).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem", "part", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    expected = con.execute("SELECT id, version, conflicts, change_id FROM (" + catalog.oracle_sql()["stream_push_versions"] + ")").fetchall()
+    got = [tuple(r) for r in catalog.queries()["stream_push_versions"](spark, str(tmp_path)).select("id", "version", "conflicts", "change_id").collect()]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(got, key=key) == sorted(expected, key=key) and len(got) == 40
