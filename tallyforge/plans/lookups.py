@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.encoding import unescaped
 from tallyforge.operators import imports as I
 from tallyforge.operators import search as S
-from tallyforge.operators.components import cut
+from tallyforge.operators.components import dealt
 from tallyforge.plans.registry import query
 
 c = F.col
@@ -60,7 +60,7 @@ formed AS (SELECT query_id, lower(raw) AS form FROM normal UNION SELECT query_id
 
 def product_records(m):
     """Products with eleven name fields; some Chinese names are stored escaped."""
-    p, k = m.table("part"), c("p_partkey")
+    p, k = dealt(m.table("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey"), c("p_partkey")
     size = c("p_size").cast("string")
     cn = F.when(k % 14 == 0, F.concat(F.lit("\\u7eff\\u8336 "), size)).when(k % 7 == 0, F.concat(F.lit("绿茶 "), size)).otherwise("")
     fields = [
@@ -78,8 +78,7 @@ def product_search_all(m):
     k = c("p_partkey")
     q = F.when(k % 5 == 0, F.upper(F.substr("p_name", F.lit(2), F.lit(6)))).when(k % 5 == 1, F.concat(F.lit(" "), c("p_size").cast("string"), F.lit(" "))).when(k % 5 == 2, F.concat_ws("   ", "p_type", "p_name")).when(k % 5 == 3, F.concat(F.lit("绿茶 "), c("p_size").cast("string"))).otherwise(F.concat(F.lit("nothing "), k.cast("string")))
     asked = m.table("part").where(k % 97 == 3).select(k.alias("query_id"), q.alias("q"))
-    records = cut(product_records(m))
-    return S.found(asked, "q", records, "product_id", "text", S.index(records, "product_id", "text")).select("query_id", "product_id")
+    return S.found(asked, "q", product_records(m), "product_id", "text").select("query_id", "product_id")
 
 
 # --- snapshots and summaries ----------------------------------------------------------------
