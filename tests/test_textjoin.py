@@ -112,3 +112,14 @@ def test_near_pairs_of_names_with_one_beginning_and_repeated_rows_equal_sql(spar
     expected = sorted(con.execute("SELECT a, b FROM (" + catalog.oracle_sql()["supplier_near_pairs"] + ")").fetchall())
     assert sorted(map(tuple, catalog.queries()["supplier_near_pairs"](spark, str(tmp_path)).collect())) == expected
     assert len(set(expected)) < len(expected)
+
+
+def test_what_is_made_of_texts_is_never_broadcast(spark, capsys):
+    """Runs and segments are many times the size of the rows that the planner knows; the joins by them deal both sides out."""
+    x = C.cut(spark.createDataFrame([(1, "abcdefgh")], "t int, l string"))
+    y = C.cut(spark.createDataFrame([(1, "xabcdefghi")], "t int, r string"))
+    J.containing(x, "l", y, "r", ["t"]).explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    J.similar(x, "l", y, "r", ["t"], 0.75).explain()
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join [" in line and ("part#" in line or "gram#" in line)]
+    assert joins and all("SortMergeJoin" in line and "part#" in line for line in joins)
