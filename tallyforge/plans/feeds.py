@@ -122,8 +122,7 @@ def stream_price_anomaly(m):
     schema = rows.schema
     for part in [*[stored.where(c("year") == y).drop("year") for y in years], end]:
         part.write.mode("append").parquet(folder + "/in")
-        d = S.price_anomalies(S.read_stream(m.spark, folder + "/in", schema, 64), ["company_id", "supplier_id", "product_id"], DELAY)
-        S.run(d, lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/b={n}"), folder + "/checkpoint")
+        S.run(S.read_stream(m.spark, folder + "/in", schema, 64), S.ordered_anomalies(m.spark, folder, ["company_id", "supplier_id", "product_id"], DELAY), folder + "/checkpoint")
     return m.spark.read.parquet(folder + "/out").select("item_id", "price", "prior")
 
 

@@ -210,3 +210,41 @@ def price_anomalies(rows: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Anomalies of a stream of prices (keys, item_id, at, place, price) that are at most ``delay`` late."""
     keyed = rows.withWatermark("at", delay).groupBy(*keys)
     return keyed.applyInPandasWithState(held_prices, ANOMALY_ROWS, HELD, "append", "EventTimeTimeout")
+
+
+def ordered_anomalies(spark: SparkSession, folder: str, keys: list[str], delay: str) -> Callable[[DataFrame, int], None]:
+    """A batch function with the same results as price_anomalies, of joins and windows alone: what comes out of batch n is in ``folder``/out/b=n.
+
+    Rows wait in a table until their time lies before the latest one so far less the delay; then they count in the order of time and place, onto
+    the number and the sum of the prices of their key, of which a batch reads and writes those of its keys. Rows that come later than the delay are left out.
+    """
+    waiting, clock, sums = VersionedTable(spark, folder + "/waiting"), VersionedTable(spark, folder + "/clock"), LayeredTable(spark, folder + "/sums", "key")
+
+    def work(batch: DataFrame, n: int) -> None:
+        rows = batch.select(F.struct(*keys).alias("key"), "item_id", "at", "place", "price")
+        newest = rows.agg(F.max("at").alias("latest"))
+        seen, held = clock.read(before=n), waiting.read(before=n)
+        if seen is not None:
+            rows = rows.crossJoin(F.broadcast(seen)).where(c("latest").isNull() | (c("at") >= c("latest") - F.expr(f"interval {delay}"))).drop("latest")
+            newest = newest.unionByName(seen).agg(F.max("latest").alias("latest"))
+        clock.write(newest, n)  # one row
+        mark = F.broadcast(clock.read(before=n + 1).select((c("latest") - F.expr(f"interval {delay}")).alias("mark")))
+        rows = (rows if held is None else rows.unionByName(held)).crossJoin(mark)
+        ready = rows.where("at < mark").drop("mark")
+        before = sums.read(before=n, keys=ready)
+        if before is None:
+            before = ready.limit(0).selectExpr("key", "cast(0 as bigint) as n", "cast(0 as bigint) as total")
+        before = before.select(c("key").alias("of"), c("n").alias("n0"), c("total").alias("total0"))
+        same, zero = c("key").eqNullSafe(c("of")), F.lit(0).cast("bigint")
+        w = Window.partitionBy("key").orderBy("at", "place", "item_id").rowsBetween(Window.unboundedPreceding, -1)
+        price = F.floor(c("price") * 10000)
+        d = ready.withColumn("n", F.count("*").over(w)).withColumn("total", F.sum(price).over(w)).join(before, same, "left")
+        count = c("n") + F.coalesce("n0", zero)
+        prior = (F.coalesce("total", zero) + F.coalesce("total0", zero)).cast("double") / F.nullif(count, F.lit(0)) / 10000
+        d = d.select("item_id", "price", prior.alias("prior")).where((c("prior") > 0) & (F.abs(c("price") - c("prior")) / c("prior") > ANOMALY))
+        d.write.mode("overwrite").parquet(f"{folder}/out/b={n}")
+        new = ready.groupBy("key").agg(F.count("*").alias("n"), F.sum(price).alias("total")).join(before, same, "left")
+        sums.write(new.select("key", (c("n") + F.coalesce("n0", zero)).alias("n"), (F.coalesce("total", zero) + F.coalesce("total0", zero)).alias("total")), n)
+        waiting.write(rows.where("at >= mark").drop("mark"), n)
+
+    return work

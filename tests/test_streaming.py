@@ -122,3 +122,24 @@ def test_pushed_changes_without_id_or_time_and_with_ids_below_zero(spark, tmp_pa
     got = [tuple(r) for r in catalog.queries()["stream_push_versions"](spark, str(tmp_path)).select("id", "version", "conflicts", "change_id").collect()]
     key = lambda r: (r[0] is None, r)
     assert sorted(got, key=key) == sorted(expected, key=key) and len(got) == 40
+
+
+def test_ordered_anomalies_keep_no_python_state_and_survive_repeats(spark, tmp_path):
+    """Shuffled rows over several batches, each of them twice, give the anomalies of their order; the query runs no Python on the rows."""
+    import inspect
+
+    from tallyforge.plans.prices import price_anomalies
+
+    m = Model(spark, SF)
+    expected = sorted((r.item_id, round(r.price, 9), round(r.prior, 9)) for r in price_anomalies(m).select("item_id", "price", "prior").collect())
+    place = F.format_string("%020d-%010d-%s", "invoice_id", F.col("line_no").cast("int"), "item_id")
+    rows = m.prices.select("company_id", "supplier_id", "product_id", "item_id", F.col("invoice_date").cast("timestamp").alias("at"), place.alias("place"), "price").cache()
+    end = rows.limit(1).select(*[F.lit(None).cast(t).alias(k) if k != "at" else F.timestamp_seconds(F.lit(7_258_118_400)).alias(k) for k, t in rows.dtypes])
+    years = [r.y for r in rows.select(F.year("at").alias("y")).distinct().orderBy("y").collect()]
+    late = F.pmod(F.xxhash64("item_id"), F.lit(2))  # half of a year comes a year later
+    for n, part in enumerate([*[rows.where(F.year("at") + late == y) for y in [*years, years[-1] + 1]], end]):
+        for _ in range(2):
+            S.ordered_anomalies(spark, str(tmp_path), ["company_id", "supplier_id", "product_id"], "800 days")(part, n)
+    got = sorted((r.item_id, round(r.price, 9), round(r.prior, 9)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == expected and expected
+    assert "ordered_anomalies" in inspect.getsource(feeds)
