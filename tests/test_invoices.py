@@ -123,3 +123,22 @@ def test_differences(spark):
     new = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, None, 3.0), (5, "e", 5.0)], "k long, x string, y double")
     got = {tuple(r) for r in state.differences(old, new, "k", ["x", "y"]).select("k", "kind", "old_x", "old_y", "new_x", "new_y").collect()}
     assert got == {(2, "update", "b", None, "b", 2.0), (4, "delete", "d", 4.0, None, None), (5, "insert", None, None, "e", 5.0)}
+
+
+def test_merge_candidates_come_once_without_being_made_distinct(spark, tmp_path, capsys):
+    """Pairs aren't dealt out again; where an id has several rows they still come once, as in the SQL."""
+    import duckdb
+
+    from tallyforge import catalog
+
+    run = catalog.queries()["merge_candidates_any"]
+    run(spark, "/root/testdata/sf0.001").explain()
+    assert "HashAggregate" not in capsys.readouterr().out
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    more = orders.where("o_orderkey % 50 = 0").selectExpr("o_orderkey", "o_custkey + 1 as o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders.unionByName(more).unionByName(orders.where("o_orderkey % 70 = 0")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    (tmp_path / "customer.parquet").symlink_to("/root/testdata/sf0.001/customer.parquet")
+    con = duckdb.connect()
+    con.execute("".join(f"CREATE VIEW {t} AS FROM '/root/testdata/sf0.001/{t}.parquet';" for t in ("customer", "lineitem", "part", "supplier", "events")) + f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+    expected = con.execute(catalog.oracle_sql()["merge_candidates_any"]).fetchall()
+    assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == sorted(expected)
